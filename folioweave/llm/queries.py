@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, simhash_dedup, url_filter
+from . import fm_quality, packing, quality_rules, simhash_dedup, url_filter, va_topk
 from .common import table
 
 
+def op1_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op3_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_va_file_topk": op1_va_file_topk,
+        "op3_fm_quality": op3_fm_quality,
         "op4_best_two_fit_packing": op4_best_two_fit_packing,
         "op7_url_filter": op7_url_filter,
         "op8_quality_rules": op8_quality_rules,
@@ -38,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_va_file_topk": va_topk.ORACLE_SQL}
