@@ -20,6 +20,15 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """df with new columns that are computed once for each row, however often they are used.
+
+    Spark may repeat an expression at each of its uses; a generator of one row stops that.
+    """
+    kept = [df[c] for c in df.columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint in the shared folder.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_quality, packing, quality_rules, simhash_dedup, url_filter, va_topk
+from . import fm_quality, license_scan, packing, quality_rules, simhash_dedup, url_filter, va_topk
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op3_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +43,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_va_file_topk": op1_va_file_topk,
+        "op2_license_scan": op2_license_scan,
         "op3_fm_quality": op3_fm_quality,
         "op4_best_two_fit_packing": op4_best_two_fit_packing,
         "op7_url_filter": op7_url_filter,
