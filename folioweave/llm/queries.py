@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_quality, license_scan, mixing, packing, quality_rules, simhash_dedup, url_filter, va_topk
+from . import fm_quality, license_scan, mixing, packing, quality_rules, secret_scan, simhash_dedup, url_filter, va_topk
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), max_repeats=1.5)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.default_list(spark))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fm_quality": op3_fm_quality,
         "op4_best_two_fit_packing": op4_best_two_fit_packing,
         "op5_temperature_mixing": op5_temperature_mixing,
+        "op6_secret_scan": op6_secret_scan,
         "op7_url_filter": op7_url_filter,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
