@@ -4,22 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.llm import packing, quality_rules, simhash_dedup
+from folioweave.llm import line_dedup, mixing, packing, quality_rules, simhash_dedup
+
+#: The mixture reads every document once, and those of the rarest source at most so often.
+MAX_REPEATS = 1.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_filter(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_copied_lines(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_dedup.keep_one(docs)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs, max_repeats=MAX_REPEATS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(docs)
 
 
-STAGES = [("quality rules", quality), ("SimHash near-dedup", near_duplicates), ("best-fit packing", pack)]
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("mixing sources to target weights", mixture),
+    ("best-fit packing", pack),
+]
 
 #: Weak supervision, fingerprints and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
