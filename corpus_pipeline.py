@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioweave.llm import line_dedup, mixing, packing, quality_rules, simhash_dedup
+from folioweave.llm.common import stored
 
 #: The mixture reads every document once, and those of the rarest source at most so often.
 MAX_REPEATS = 1.5
@@ -44,6 +45,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *first, (_, last) = STAGES
+    for _, stage in first:
+        docs = stored(stage(spark, docs, sf_dir))
+    return last(spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written as Parquet to the shared checkpoint folder, and read again."""
+    spark = df.sparkSession
+    if (folder := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int = 10_000) -> DataFrame:
     """Hints a broadcast only if the counted rows stay within ``most``; otherwise the join shuffles."""
     return F.broadcast(df) if rows <= most else df
