@@ -6,6 +6,8 @@ grows with the corpus; a shard wastes less than one sequence against packing all
 
 from __future__ import annotations
 
+import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,44 +19,40 @@ from pyspark.sql import functions as F
 END_ID = 0
 CAPACITY = 2048
 SHARD_PIECES = 4096
-#: Words remembered by a tokenizing task before its memory is emptied.
-REMEMBERED = 400_000
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
-_loaded: dict[str, Encoder] = {}
+#: Finds what a pattern may not split: thousands of characters of one kind, black or white.
+LONG_RUN = re.compile(r"\S{2000}|\s{2000}").search
+_loaded: dict[tuple[str, str], Encoder] = {}
 
 
 class Encoder:
-    """Token ids of whole texts, by the tokenizer file at a path.
+    """Token ids of whole texts, by a file of byte-level ranks and its usual splitting pattern.
 
-    A byte-level vocabulary never merges across the splits of its own pattern, so every split
-    is encoded once by the tokenizer and remembered. Strings of special tokens count as text.
+    The ids are those of the same vocabulary's tokenizer file; strings of special tokens count
+    as text. The tokenizer file itself encodes texts with a run too long for the ranks.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, ranks: str, whole: str) -> None:
         import public_tokenizers
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(ranks, "rb") as f:
+            known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+        self.tokenizer = Tokenizer.from_file(whole)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in _loaded:
-            _loaded[path] = cls(path)
-        return _loaded[path]
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        splits = [self.split(x) for x in texts]
-        new = list({w for words in splits for w in words if w not in self.known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        for words in splits:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+    def of(cls, ranks: str, whole: str) -> Encoder:
+        if (ranks, whole) not in _loaded:
+            _loaded[ranks, whole] = cls(ranks, whole)
+        return _loaded[ranks, whole]
+
+    def __call__(self, text: str) -> np.ndarray:
+        if LONG_RUN(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -63,25 +61,25 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(x, capacity) for x in range(first, length, capacity)]
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, ranks: str | None = None, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece of each document: the ids' place, number and checksum, without the ids.
 
     A null or empty text is the end id alone.
     """
-    if tokenizer is None:
+    if ranks is None or tokenizer is None:
         import public_tokenizers
 
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+        ranks, tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
     kind = docs.schema["doc_id"].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(ranks, tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
-                for doc, ids in enumerate(encoder([x or "" for x in part.column("text").to_pylist()])):
-                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                for doc, text in enumerate(part.column("text").to_pylist()):
+                    ids = np.append(encoder(text or ""), np.uint32(END_ID)).astype("<u4")
                     rows += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cuts(len(ids), capacity))]
                 doc, *rest = np.array(rows, np.int64).T
                 columns = [part.column("doc_id").take(pa.array(doc)), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), *[pa.int64()] * 3), strict=True))]
@@ -160,7 +158,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
     return packed.unionByName(whole.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")))
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def packed_sequences(docs: DataFrame, ranks: str | None = None, tokenizer: str | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are
@@ -169,4 +167,4 @@ def packed_sequences(docs: DataFrame, tokenizer: str | None = None, capacity: in
     """
     from .common import cut
 
-    return pack(cut(pieces(docs, tokenizer, capacity)), capacity, shard_pieces)
+    return pack(cut(pieces(docs, ranks, tokenizer, capacity)), capacity, shard_pieces)
