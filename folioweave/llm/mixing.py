@@ -117,8 +117,8 @@ def mixture_plan(docs: DataFrame, target_entropy: float | None = None, max_repea
     return cut(plan.join(until, plan["source"].eqNullSafe(until["own"]), "left").drop("own", "rest"))
 
 
-def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 11, block_tokens: int = BLOCK_TOKENS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The mixture: a row for each reading of each document, with columns ``carry``, source, n_tokens, weight, epoch and block.
+def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 11, block_tokens: int = BLOCK_TOKENS, carry: tuple[str, ...] = ("doc_id", "source"), bare: bool = False) -> DataFrame:
+    """The mixture: a row for each reading of each document, with columns ``carry`` and, unless ``bare``, n_tokens, weight, epoch and block.
 
     A source is read ``full`` times, and once more up to the place in its permutation where its
     budget ends. A reading's block follows from the place it has in its source's own
@@ -133,12 +133,14 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     n, wanted = plan.agg(F.count("*"), F.sum("wanted")).first()
     blocks = max(1, -(-(wanted or 0) // block_tokens))
     p = maybe_broadcast(plan.select(F.col("source").alias("own"), F.col("tokens").alias("of"), "weight", "wanted", "full", "until"), n)
-    own = [F.col("d")[c].alias(c) for c in dict.fromkeys((*carry, "source"))]
+    own = [F.col("d")[c].alias(c) for c in carry]
     read = once(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d")), n_tokens=token_count(F.col("d.text")), place=place_of(F.col("d.doc_id"), seed))
     met = read.join(p, F.col("d.source").eqNullSafe(p["own"]), "left")
     epochs = F.when(F.col("of").isNull(), F.lit(1)).otherwise(F.col("full") + F.coalesce(F.col("place") < F.col("until"), F.lit(False)).cast("long"))
     readings = F.when(epochs > 0, F.sequence(F.lit(1).cast("long"), epochs)).otherwise(F.array().cast("array<bigint>"))
     every = met.withColumn("epoch", F.explode(readings))
+    if bare:
+        return every.select(*own)
     # Where in its source's sequence a reading stands: whole readings go by a place of their own, the last by the common one.
     turned = F.when(F.col("epoch") > F.col("full"), F.col("place")).otherwise(F.shiftrightunsigned(F.xxhash64("place", "epoch"), 64 - STEP_BITS * STEPS))
     at = (F.col("epoch") - 1 + turned / F.lit(float(PLACES))) * F.col("of") / F.col("wanted")
@@ -148,4 +150,4 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
 
 def mixed_documents(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 1.5, budget: int | None = None, seed: int = 11) -> DataFrame:
     """The mixture with the columns of the documents alone."""
-    return mix(docs, target_entropy, max_repeats, budget, seed, carry=tuple(docs.columns)).select(*docs.columns)
+    return mix(docs, target_entropy, max_repeats, budget, seed, carry=tuple(docs.columns), bare=True)

@@ -158,5 +158,5 @@ def redacted(docs: DataFrame, findings: DataFrame | None = None, keep_at: float
     scored = model.transform(featured(candidates(docs.where("doc_id is not null"), path))).where(vector_to_array("probability")[1] >= keep_at)
     bad = scored.groupBy(F.col("doc_id").alias("own")).agg(F.collect_set("found").alias("bad"))
     met = docs.join(bad, docs["doc_id"] == bad["own"], "left")
-    text = F.aggregate(F.coalesce("bad", F.array().cast("array<string>")), docs["text"], lambda t, b: F.replace(t, b, F.lit(mask)))
+    text = F.aggregate(F.coalesce(bad["bad"], F.array().cast("array<string>")), docs["text"], lambda t, b: F.replace(t, b, F.lit(mask)))
     return met.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
