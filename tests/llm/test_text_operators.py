@@ -152,3 +152,16 @@ def test_url_rules(spark):
     assert got[3] == got[4] == ("", "", None, "allow")
     assert got[5][2:] == ("com/de/", "block") and got[6][2:] == ("com/fr/", "allow")
     assert got[7] == ("ads-track.example.net", "/p", None, "block")
+
+
+def test_url_keys_reach_every_listed_depth(spark):
+    listed = spark.createDataFrame([("http://ads-track.example.com/",), ("http://h.net/a/b/c/d/",), ("http://a.b.c.d.e.f.g.deep.com/q/",)], "url string")
+    urls = {
+        "http://a.b.c.d.e.ads-track.example.com/p": "block", "http://ads-track.example.com/p": "block", "http://example.com/p": "allow",
+        "http://h.net/a/b/c/d/e/f/g?x": "block", "http://h.net/a/b/c/d/": "block", "http://h.net/a/b/c/": "allow", "http://h.net/a/b/c/dd/e": "allow",
+        "http://z.a.b.c.d.e.f.g.deep.com/q/r": "block", "http://b.c.d.e.f.g.deep.com/q/r": "allow",
+    }
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), listed).collect()
+    assert {list(urls)[x["page_id"]]: x["verdict"] for x in got} == urls
+    none = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), listed.where("false")).collect()
+    assert {x["verdict"] for x in none} == {"allow"}
