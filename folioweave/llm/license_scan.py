@@ -1,15 +1,16 @@
 """License scan over a positional index of rare words.
 
-The index holds the words of license templates with their places. A file looks up those of its
-words that are the rarest of some template or phrase, by document frequency over the whole
-corpus. Each lookup names a template and the place where it would start; places that agree are
-one hit, and a hit counts only if the template's mandatory key phrases stand where it puts them.
+The index holds the rarest word of each license template's first key phrase, by document
+frequency over the whole corpus, with its place. A file looks up its words there. Each lookup
+names a template and the place where it would start; a hit counts only if the first key phrase
+stands there exactly, and the others where it puts them or a few words beside.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +19,13 @@ from .common import lower_ascii, once
 
 #: What stands between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words that may be added or left out between one key phrase and the next; a template that is one phrase stands exactly.
+SLACK = 4
 
 
 @dataclass(frozen=True)
 class Template:
-    """A license's wording. Each of ``keys`` is part of ``text`` and must stand at its place exactly; base templates are reported by place."""
+    """A license's wording. Each of ``keys`` is part of ``text`` and must stand word for word, up to SLACK words beside its place after the key before; base templates are reported by place."""
 
     label: str
     text: str
@@ -93,11 +96,11 @@ def _rarest(words: list[str], idf: dict[str, float], most: int) -> list[int]:
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare_words: int = 6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and places for every row of docs.
 
-    A place is (label, base, at): a template's own start whose key phrases were verified. The
-    index has the ``rare_words`` rarest words of each template, by IDF over all documents; a
-    place's votes are those of them that stand where it puts them, and ``score`` is the
-    greatest IDF-weighted share of votes. Since every key phrase begins a lookup with its own
-    rarest word, no place of a phrase is missed. A null or empty text has no words and score 0;
+    A place is (label, base, at): a template's own start, as its first key phrase puts it, whose
+    key phrases were verified. A place's votes are those of the ``rare_words`` rarest words of
+    the template, by IDF over all documents, that stand where it puts them, as far beside as key
+    phrases may; ``score`` is the greatest IDF-weighted share of votes. Since the first key
+    phrase stands word for word in every place and its rarest word is looked up, none is missed. A null or empty text has no words and score 0;
     repeated rows are scanned each; an empty table gives no rows. No row is shuffled but for
     the counts of words.
     """
@@ -127,16 +130,22 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare_word
             found = found & (F.get(words, at + k) == w)
         return F.coalesce(found, F.lit(False))
 
+    def near(at: Column, phrase: list[str], slack: int) -> Column:
+        return reduce(lambda a, b: a | b, [stands(at + d, phrase) for d in sorted(range(-slack, slack + 1), key=abs)])
+
     def verified(place: Column) -> Column:
         """Null if a key phrase is missing, else label, base, at and score."""
         out = F.lit(None)
         for number, t in enumerate(templates):
-            ok = place["at"] >= 0
-            for start, key in t.key_places():
-                ok = ok & stands(place["at"] + start, key)
+            slack = SLACK if t.keys else 0
+            # Words left out before the first key phrase may put the start before the file's own.
+            ok = place["at"] >= -slack
+            for k, (start, key) in enumerate(t.key_places()):
+                ok = ok & near(place["at"] + start, key, k * slack)
+            beyond = max(1, len(t.keys) - 1) * slack
             total = sum(x for _, _, x in rare[number])
-            share = sum((F.when(stands(place["at"] + p, [w]), x).otherwise(0.0) for p, w, x in rare[number]), F.lit(0.0)) / total
-            hit = F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), place["at"].cast("long").alias("at"), F.least(share, F.lit(1.0)).alias("score"))
+            share = sum((F.when(near(place["at"] + p, [w], beyond), x).otherwise(0.0) for p, w, x in rare[number]), F.lit(0.0)) / total
+            hit = F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.greatest(place["at"], F.lit(0)).cast("long").alias("at"), F.least(share, F.lit(1.0)).alias("score"))
             out = F.when((place["t"] == number) & ok, hit).otherwise(out) if number else F.when((place["t"] == number) & ok, hit)
         return out
 

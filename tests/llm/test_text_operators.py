@@ -165,3 +165,16 @@ def test_url_keys_reach_every_listed_depth(spark):
     assert {list(urls)[x["page_id"]]: x["verdict"] for x in got} == urls
     none = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), listed.where("false")).collect()
     assert {x["verdict"] for x in none} == {"allow"}
+
+
+def test_license_words_added_or_left_out_between_key_phrases(spark):
+    mit, apache, bsd = (license_scan.TEMPLATES[k].text for k in (3, 4, 8))
+    rows = [
+        (1, "x " + mit.replace("person obtaining", "person or entity obtaining"), "", ""), (2, mit.replace("obtaining a copy", "obtaining copy"), "", ""),
+        (3, apache.replace("you may obtain a copy", "you may also obtain a copy"), "", ""), (4, apache.replace("may not use", "may use"), "", ""),
+        (5, bsd.replace("are permitted", "is expressly permitted"), "", ""), (6, mit.replace("person obtaining", "person " + "x " * 9 + "obtaining"), "", ""), (7, mit, "", ""),
+    ]
+    got = {x["doc_id"]: x for x in license_scan.scan(frame(spark, rows)).collect()}
+    assert {k: x["labels"] for k, x in got.items()} == {1: "mit", 2: "mit", 3: "apache", 4: "apache", 5: "bsd", 6: "", 7: "mit"}
+    assert [x["at"] for x in got[1]["places"]] == [1] and [x["at"] for x in got[4]["places"]] == [0]
+    assert got[7]["score"] == pytest.approx(1) and got[1]["score"] > 0.5 and got[6]["score"] == 0
