@@ -83,14 +83,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
-
-
-def partial_components(edges: DataFrame) -> DataFrame:
-    """Columns a, b (undirected links) to node, component, where equal components are linked but linked nodes may differ.
-
-    Two steps to the smallest neighbour, without a search for the end; for where a finer split than the components will do.
-    """
-    e = edges.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other"))
-    both = cut(e.unionByName(e.select(F.col("other").alias("node"), F.col("node").alias("other"))))
-    least = both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("m"))
-    return both.join(least.select(F.col("node").alias("other"), "m"), "other").groupBy("node").agg(F.min("m").alias("component"))
