@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The closed vocabulary of commit types.
@@ -62,3 +62,11 @@ def html_text(html: Column) -> Column:
 def seconds(ts: Column) -> Column:
     """Seconds since 1970 of a timestamp without a zone, whatever the session's zone."""
     return F.unix_date(ts.cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts)).cast("long")
+
+
+def bound(df: DataFrame, **made: Column) -> DataFrame:
+    """df with new columns that are computed once for each row.
+
+    Spark may repeat an expression at each use, in a lambda even for each element; a generator of one row stops that.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))

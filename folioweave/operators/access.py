@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Drive roles and the repository roles they give; any other role is a guest.
 ROLE_MAP = {"owner": "maintainer", "writer": "developer", "commenter": "reporter", "reader": "guest"}
 RANKS = {"guest": 1, "reporter": 2, "developer": 3, "maintainer": 4}
@@ -50,17 +52,20 @@ def ancestors(edges: DataFrame, max_depth: int = 100) -> DataFrame:
     raise ValueError(f"deeper than {max_depth} or cyclic")
 
 
-def reachable(edges: DataFrame, checkpoint_every: int = 3) -> DataFrame:
-    """a, b for every node b that can be reached from a; cycles are allowed."""
-    seen = edges.select("a", "b").distinct()
-    front, turn = seen, 0
+def reachable(edges: DataFrame) -> DataFrame:
+    """a, b for every node b that can be reached from a; cycles are allowed.
+
+    Each round adds the paths that end in what the round before found first; frames are
+    checkpointed, so the plan doesn't grow with the length of paths.
+    """
+    edges = cut(edges.select("a", "b").distinct())
+    seen = front = edges
+    step = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
     while True:
-        turn += 1
-        new = front.join(edges.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        new = new.checkpoint() if turn % checkpoint_every == 0 else new.persist()
-        if new.isEmpty():
+        front = cut(front.join(step, "b").select("a", F.col("c").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"))
+        if front.isEmpty():
             return seen
-        seen, front = seen.unionByName(new), new
+        seen = cut(seen.unionByName(front))
 
 
 def effective_rank(customers: DataFrame, nation: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,15 +53,41 @@ def median_value(events: DataFrame) -> DataFrame:
     return events.agg(F.round(F.percentile("value", 0.5), 6).alias("p50"))
 
 
-def semantic_top(vectors: DataFrame, k: int = 5, every: int = 100) -> DataFrame:
-    """Each query's k most similar other vectors by cosine, ties to the smaller id. Every 100th vector is a query."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select("vec_id", "embedding").withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    q = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"), F.col("norm").alias("m"))
-    sim = F.round(dot(F.col("e"), F.col("embedding")) / (F.col("m") * F.col("norm")), 4)
-    scored = q.join(v, F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("v"), sim.alias("sim"))
-    best = Window.partitionBy("q").orderBy(F.desc("sim"), "v")
-    return scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("q", "v", "sim")
+def semantic_top(vectors: DataFrame, k: int = 5, every: int = 50, block: int = 2048) -> DataFrame:
+    """q, v, sim: each query's k most similar other vectors by cosine, ties to the smaller id. Every 50th vector is a query.
+
+    Candidates and queries are dealt into blocks, each pair of blocks is one task's matrix
+    product, and only a block's k best of each query leave it.
+    """
+    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).where("vec_id is not null and e is not null")
+    n, asked = v.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    blocks, groups = max(1, -(-n // block)), max(1, -(-asked // block))
+    own = lambda x: F.pmod(F.xxhash64("vec_id"), F.lit(x)).cast("int")
+    spread = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
+    held = v.select("vec_id", "e", F.size("e").alias("d"), own(blocks).alias("block")).withColumn("part", spread(groups))
+    ask = v.where(F.col("vec_id") % every == 0).select("vec_id", "e", F.size("e").alias("d"), own(groups).alias("part")).withColumn("block", spread(blocks))
+
+    def best(key: tuple[pa.Scalar, ...], queries: pa.Table, file: pa.Table) -> pa.Table:
+        out = [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
+        if queries.num_rows and file.num_rows:
+            a, b = (np.array(t["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1) for t in (queries, file))
+            ids, asked_ids = file["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+            norms = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))
+            with np.errstate(invalid="ignore"):
+                sim = np.round((a @ b.T) / norms, 4)
+            found = [[], [], []]
+            for i, q in enumerate(asked_ids):
+                at = np.flatnonzero((ids != q) & ~np.isnan(sim[i]))
+                at = at[np.lexsort((ids[at], -sim[i, at]))[:k]]
+                for x, y in zip(found, (np.full(len(at), q), ids[at], sim[i, at]), strict=True):
+                    x.append(y)
+            out = [pa.array(np.concatenate(x)) for x in found]
+        return pa.table(out, names=["q", "v", "sim"])
+
+    keys = ["d", "block", "part"]
+    scored = ask.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(best, "q long, v long, sim double")
+    order = Window.partitionBy("q").orderBy(F.desc("sim"), "v")
+    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "v", "sim")
 
 
 def review_rate(docs: DataFrame, labels: DataFrame) -> DataFrame:

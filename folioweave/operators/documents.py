@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import EMAIL, IP, html_text, masked, matches
+from ..functions.text import EMAIL, IP, bound, html_text, masked, matches
 
 ANCHOR_WORDS = 5
 
@@ -20,25 +20,46 @@ def section_numbers(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", F.col("pos").cast("long").alias("pos"), F.concat_ws(".", F.col("section").cast("string"), inner.cast("string")).alias("number"))
 
 
-def _windows(words: F.Column, n: int) -> F.Column:
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+def _windows(words: Column, n: int) -> Column:
+    """Hashes of all runs of n words."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
 
 
 def template_forks(templates: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, doc_id where a document holds a template's whole text.
 
-    Documents and templates meet by equal word windows and the text decides, so nothing is
-    compared all against all. The window starts at the template's second word; a template
-    too short for one is compared with every document.
+    Only a template's first and last word may be parts of a document's words. So its second
+    to second last, ANCHOR_WORDS of them at most, stand as a run of words in every document
+    that holds it: documents and templates meet by hashes of such runs, and the text decides.
+    Templates of one or two words have none and are sought in every text.
     """
-    t = templates.where("length(text) > 0").withColumn("words", F.split("text", r"\s+"))
-    anchored = t.where(F.size("words") >= ANCHOR_WORDS + 2).select("item_id", F.col("text").alias("passage"), F.array_join(F.slice("words", 2, ANCHOR_WORDS), " ").alias("key"))
-    short = t.where(F.size("words") < ANCHOR_WORDS + 2).select("item_id", F.col("text").alias("passage"))
-    keys = docs.select("doc_id", F.explode(_windows(F.split("text", r"\s+"), ANCHOR_WORDS)).alias("key"))
-    pairs = keys.join(anchored, "key").select("item_id", "doc_id", "passage").distinct()
-    long_ = pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    return long_.unionByName(short.join(docs.select("doc_id", "text"), F.contains("text", "passage")).select("item_id", "doc_id"))
+    t = bound(templates.where("length(text) > 0").select("item_id", F.col("text").alias("passage")), words=F.split("passage", r"\s+"))
+    run = F.least(F.size("words") - 2, F.lit(ANCHOR_WORDS))
+    anchors = t.where(F.size("words") >= 3).select("item_id", "passage", run.alias("n"), F.get(_anchor(F.col("words"), run), F.lit(0)).alias("key"))
+    tiny = t.where(F.size("words") < 3).select("item_id", "passage")
+    lengths = sorted(r["n"] for r in anchors.select("n").distinct().collect())  # ANCHOR_WORDS of them at most
+    found = tiny.join(docs.select("doc_id", "text"), F.contains("text", "passage")).select("item_id", "doc_id")
+    if not lengths:
+        return found
+    words = bound(docs.select("doc_id", F.col("text").alias("whole")), words=F.split("whole", r"\s+")).drop("whole")
+    keys = words.select("doc_id", F.explode(F.array_distinct(F.concat(*[_windows(F.col("words"), n) for n in lengths]))).alias("key"))
+    pairs = keys.join(_small(anchors), "key").select("item_id", "doc_id", "passage").distinct()
+    long_ = pairs.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage"))
+    return long_.select("item_id", "doc_id").unionByName(found)
+
+
+def _anchor(words: Column, run: Column) -> Column:
+    """The hash of the run of words that starts at the second, as an array of one."""
+    out = F.array().cast("array<bigint>")
+    for n in range(1, ANCHOR_WORDS + 1):
+        out = F.when(run == n, F.array(F.xxhash64(*[F.get(words, F.lit(k + 1)) for k in range(n)]))).otherwise(out)
+    return out
+
+
+def _small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """Hints a broadcast if there are ``most`` rows at most; otherwise the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def gallery(forks: DataFrame, k: int = 10) -> DataFrame:

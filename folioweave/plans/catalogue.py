@@ -2,44 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import access, activity, commits, documents, versions
 from ..session import table
 from ..streaming import replay
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def on(name: str, tables: str, apply: Callable[..., DataFrame], sql: str | None = None) -> None:
-    """Registers ``apply`` of the named tables."""
-    _QUERIES[name] = lambda spark, d: apply(*[table(spark, d, t) for t in tables.split()])
-    if sql:
-        _SQL[name] = sql
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from . import history, references, reports  # noqa: F401  their queries register themselves
+from .registry import on, oracle_sql, queries, query, streamed  # noqa: F401
 
 # Versions ------------------------------------------------------------------
 
@@ -138,17 +108,6 @@ def permission_drift(spark: SparkSession, d: str) -> DataFrame:
 on("jurisdiction_filter", "region nation customer", lambda r, n, c: c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r.where("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n")), "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE' GROUP BY 1")
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_returnflag = 'R'),
-r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
-SELECT a AS node, count(*) AS n_reachable FROM r GROUP BY 1""")
-def impact_transitive(spark: SparkSession, d: str) -> DataFrame:
-    item, orders, customer, supplier = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    met = item.where("l_quantity = 50 and l_returnflag = 'R'").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = met.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).distinct().persist()
-    return access.reachable(edges, checkpoint_every=1 << 30).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_reachable"))
-
-
 # Documents -----------------------------------------------------------------
 
 _EMAIL, _IP = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"
@@ -186,7 +145,7 @@ on("activity_distincts", "events", activity.distincts, "SELECT count(DISTINCT us
 on("success_rate", "events", activity.success_rate, "SELECT round(count(*) FILTER (event_type <> 'error') / count(*), 6) AS rate FROM events")
 on("value_percentile", "events", activity.median_value, "SELECT round(quantile_cont(value, 0.5), 6) AS p50 FROM events")
 on("semantic_topk", "embeddings", activity.semantic_top, """
-WITH s AS (SELECT q.vec_id AS q, c.vec_id AS v, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 4) AS sim FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+WITH s AS (SELECT q.vec_id AS q, c.vec_id AS v, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 4) AS sim FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
 SELECT q, v, sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, v) AS r FROM s) WHERE r <= 5""")
 
 
@@ -204,10 +163,3 @@ def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
     return activity.cost_rollup(spark)
 
 
-# Streams, replayed to their end; each equals its batch twin ------------------
-
-_QUERIES["stream_rate_limit"] = lambda spark, d: replay.run(spark, replay.hourly_counts(replay.event_stream(spark, f"{d}/events.parquet")), "complete")
-_SQL["stream_rate_limit"] = "SELECT date_trunc('hour', ts) AS hour, user_id, count(*) AS n FROM events GROUP BY 1, 2"
-_QUERIES["stream_lock_state"] = lambda spark, d: replay.run(spark, replay.lock_counts(replay.event_stream(spark, f"{d}/events.parquet")), "update")
-_QUERIES["stream_audit"] = lambda spark, d: replay.run(spark, replay.event_stream(spark, f"{d}/events.parquet").dropDuplicates(["event_id"]).select("event_id", "user_id", "event_type"), "append")
-_SQL["stream_audit"] = "SELECT DISTINCT event_id, user_id, event_type FROM events"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +34,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def as_zoned(df: DataFrame, column: str = "ts") -> DataFrame:
     """Watermarks need a zoned timestamp."""
     return df.withColumn(column, F.col(column).cast("timestamp"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set for checkpoints.
+
+    Where neither is set, a local session gets a temporary one; on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="folioweave-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut by a reliable checkpoint in the shared folder."""
+    folder = shared_folder(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -1,4 +1,4 @@
-"""Event streams: limits, locks and audit, and a replay that runs a stream over what is there."""
+"""Event streams: limits, locks, audit and alerts, and a replay that runs a stream over what is there."""
 
 from __future__ import annotations
 
@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
-LOCK, RELEASE = "signup", "purchase"
+from ..session import shared_folder
+
+LOCK, RELEASE, EDIT = "signup", "purchase", "click"
+LATE = "1 hour"
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
@@ -21,27 +25,134 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) ->
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
+def hourly_counts(events: DataFrame, late: str = LATE) -> DataFrame:
     w = F.window("ts", "1 hour")
     counts = events.withWatermark("ts", late).groupBy(w, "user_id").agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "user_id", "n")
 
 
+def daily_counts(events: DataFrame, late: str = LATE) -> DataFrame:
+    counts = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+def audit(events: DataFrame, late: str = LATE) -> DataFrame:
+    """Each event once. An id is remembered until the watermark has passed it, so state stays bounded."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type")
+
+
+def with_dimension(events: DataFrame, customer: DataFrame) -> DataFrame:
+    return events.join(customer, events["user_id"] == customer["c_custkey"]).select("event_id", F.col("c_name").alias("owner"))
+
+
+def alerts(events: DataFrame, orders: DataFrame, least: float = 50) -> DataFrame:
+    """event_id, user_id, n_affected of substantial edits (value over ``least``): how many documents depend on the edited one."""
+    edges = orders.groupBy("o_custkey").agg(F.count("*").alias("n_affected"))
+    edits = events.where((F.col("event_type") == EDIT) & (F.col("value") > least))
+    return edits.join(edges, F.col("user_id") == F.col("o_custkey")).select("event_id", "user_id", "n_affected")
+
+
+def auto_commits(events: DataFrame, gap: str = "2 hours", least: int = 2, late: str = LATE) -> DataFrame:
+    """user_id, start, edits: a session of ``least`` edits or more is committed when no edit follows for ``gap``."""
+    edits = events.where(F.col("event_type") == EDIT).withWatermark("ts", late)
+    found = edits.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("edits"))
+    return found.where(F.col("edits") >= least).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "edits")
+
+
+def requests_met(asked: DataFrame, freed: DataFrame, documents: int = 20, late: str = LATE) -> DataFrame:
+    """request, release of the same document within the hour: two streams joined, each with a watermark."""
+    a = asked.where(F.col("event_type") == EDIT).select((F.col("user_id") % documents).alias("doc"), F.col("event_id").alias("request"), F.col("ts").alias("asked_at")).withWatermark("asked_at", late)
+    b = freed.where(F.col("event_type") == RELEASE).select((F.col("user_id") % documents).alias("doc_b"), F.col("event_id").alias("release"), F.col("ts").alias("freed_at")).withWatermark("freed_at", late)
+    within = F.expr("doc = doc_b AND freed_at >= asked_at AND freed_at <= asked_at + INTERVAL 1 HOUR")
+    return a.join(b, within).select("request", "release")
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's events of one trigger; how many there can be is bounded by maxFilesPerTrigger."""
+    return pd.concat(list(batches)).sort_values(["ts", "event_id"])
+
+
 def lock_counts(events: DataFrame) -> DataFrame:
-    """user_id, held, acquired, refused: a lock is acquired if free, refused if held, and freed by a release."""
+    """user_id, held, acquired, refused: a lock is acquired if free, refused if held, and freed by a release.
+
+    A row for each user and trigger. Events are stepped in the order of time within a
+    trigger, and triggers in the order of files.
+    """
 
     def step(key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, acquired, refused = state.get if state.exists else (False, 0, 0)
-        for kind in pd.concat(list(batches)).sort_values(["ts", "event_id"])["event_type"]:
+        for kind in _in_order(batches)["event_type"]:
             if kind == LOCK:
                 acquired, refused, held = acquired + (not held), refused + held, True
-            elif kind == RELEASE:
+            else:
                 held = False
-        state.update((bool(held), int(acquired), int(refused)))
-        yield pd.DataFrame({"user_id": [key[0]], "held": [bool(held)], "acquired": [int(acquired)], "refused": [int(refused)]})
+        now = (bool(held), int(acquired), int(refused))
+        state.update(now)
+        yield pd.DataFrame([(key[0], *now)], columns=["user_id", "held", "acquired", "refused"])
+
+    own = "held boolean, acquired long, refused long"
+    return events.where(F.col("event_type").isin(LOCK, RELEASE)).groupBy("user_id").applyInPandasWithState(step, f"user_id long, {own}", own, "update", GroupStateTimeout.NoTimeout)
+
 
-    out = "user_id long, held boolean, acquired long, refused long"
-    return events.where(F.col("event_type").isin(LOCK, RELEASE)).groupBy("user_id").applyInPandasWithState(step, out, "held boolean, acquired long, refused long", "update", GroupStateTimeout.NoTimeout)
+def lock_lifecycle(events: DataFrame, documents: int = 20, hours: int = 12, override: float = 200, late: str = LATE) -> DataFrame:
+    """doc, event_id, outcome, holder: granted, refused, released, overridden or expired.
+
+    A lock request is granted if the document is free, refused if another holds it, and
+    overrides the holder if its value is over ``override`` (an administrator's). Only the
+    holder's release frees it. A lock runs out after ``hours``: at the next event of the
+    document, or when the watermark passes its end and nothing came.
+    """
+
+    def step(key: tuple[int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        holder, until, lock = state.get if state.exists else (None, None, None)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], lock, "expired", holder))
+            state.remove()
+        else:
+            for e in _in_order(batches).itertuples():
+                now = e.ts.value // 1000
+                if holder is not None and now > until:
+                    out.append((key[0], lock, "expired", holder))
+                    holder = until = lock = None
+                if e.event_type == LOCK:
+                    if holder is None or e.value > override:
+                        out.append((key[0], e.event_id, "granted" if holder is None else "overridden", e.user_id))
+                        holder, until, lock = e.user_id, now + hours * 3_600_000_000, e.event_id
+                    else:
+                        out.append((key[0], e.event_id, "refused", e.user_id))
+                elif holder == e.user_id:
+                    out.append((key[0], e.event_id, "released", e.user_id))
+                    holder = until = lock = None
+            if holder is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((int(holder), int(until), int(lock)))
+                state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["doc", "event_id", "outcome", "holder"]).astype({"doc": "int64", "event_id": "int64", "holder": "int64"})
+
+    marked = events.withWatermark("ts", late).where(F.col("event_type").isin(LOCK, RELEASE)).withColumn("doc", F.col("user_id") % documents)
+    out, own = "doc long, event_id long, outcome string, holder long", "holder long, until long, lock long"
+    return marked.groupBy("doc").applyInPandasWithState(step, out, own, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Hooks:
+    """Named hooks over micro-batches: register as many as wanted for an event, and they run in that order."""
+
+    EVENTS = ("onCommit", "onSearch", "onDiff")
+
+    def __init__(self) -> None:
+        self.known: dict[str, list[Callable[[DataFrame], None]]] = {e: [] for e in self.EVENTS}
+
+    def register(self, event: str, hook: Callable[[DataFrame], None]) -> None:
+        if event not in self.known:
+            raise ValueError(f"no such event: {event}")
+        self.known[event].append(hook)
+
+    def trigger(self, event: str, data: DataFrame) -> None:
+        for hook in self.known[event]:
+            hook(data)
 
 
 def dispatch(events: DataFrame, hooks: dict[str, Callable[[DataFrame], None]]):
@@ -54,9 +165,20 @@ def dispatch(events: DataFrame, hooks: dict[str, Callable[[DataFrame], None]]):
     return events.writeStream.foreachBatch(each)
 
 
-def run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """The rows a stream gives when it has read all that is there. In update mode the rows of every trigger."""
-    name = f"replay_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run(spark: SparkSession, stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
+    """The rows a stream gives when it has read all that is there, through Parquet in the folder of spark.checkpoint.dir.
+
+    In complete mode those of the last trigger, in update mode those of every trigger, or of each ``key`` its last.
+    """
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("trigger", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/rows/{'last' if mode == 'complete' else number}")
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(stream.withColumn("trigger", F.lit(0).cast("long")).schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
+    if key is not None:
+        newest = Window.partitionBy(key).orderBy(F.desc("trigger"))
+        rows = rows.withColumn("nth", F.row_number().over(newest)).where("nth = 1").drop("nth")
+    return rows.drop("trigger")
