@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_folder
+
+__all__ = ["connected_components", "cut", "lower_ascii", "maybe_broadcast", "once", "stored", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -30,26 +33,11 @@ def once(df: DataFrame, **made: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut by a reliable checkpoint in the shared folder.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; one of our own is set only
-    where that is unset, as in local tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The frame written as Parquet to the shared checkpoint folder, and read again."""
-    spark = df.sparkSession
-    if (folder := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, most: int = 10_000) -> DataFrame:

@@ -28,8 +28,8 @@ _loaded: dict[tuple[str, str], Encoder] = {}
 class Encoder:
     """Token ids of whole texts, by a file of byte-level ranks and its usual splitting pattern.
 
-    The ids are those of the same vocabulary's tokenizer file; strings of special tokens count
-    as text. The tokenizer file itself encodes texts with a run too long for the ranks.
+    The ids are those of the same vocabulary's tokenizer file. That file itself encodes texts
+    with a run too long for the ranks and texts that hold the string of a special token.
     """
 
     def __init__(self, ranks: str, whole: str) -> None:
@@ -41,7 +41,8 @@ class Encoder:
             known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
         self.tokenizer = Tokenizer.from_file(whole)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
 
     @classmethod
     def of(cls, ranks: str, whole: str) -> Encoder:
@@ -50,7 +51,7 @@ class Encoder:
         return _loaded[ranks, whole]
 
     def __call__(self, text: str) -> np.ndarray:
-        if LONG_RUN(text):
+        if LONG_RUN(text) or self.special(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 

@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_va_file_topk": va_topk.ORACLE_SQL}
+    return {"op1_va_file_topk": va_topk.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL}

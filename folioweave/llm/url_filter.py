@@ -24,7 +24,9 @@ RULES = (
 )
 #: The query's own block list: sites listed with all that lies under them.
 SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-LISTED = tuple(f"http://{site}.example.{top}/" for site in SITES for top in ("com", "net", "org"))
+TOPS = ("com", "net", "org")
+#: Numbers of the generated sites: each of SITES under each of TOPS, bare and with every number below.
+NUMBERED = 60_000
 WORDS_PER_BLOCK = 4
 PROBES = 8
 KEYS_PER_BLOCK = 16
@@ -130,5 +132,32 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str,
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("on_list"), "block").otherwise("allow")).alias("verdict"))
 
 
-def default_list(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("url"))
+def default_list(spark: SparkSession, numbered: int = NUMBERED) -> DataFrame:
+    """The query's own list, about a million sites: ads-track.example.com, ads-track-0.example.com and so on."""
+    each = F.explode(F.array(*[F.struct(F.lit(site).alias("site"), F.lit(top).alias("top")) for site in SITES for top in TOPS]))
+    named = spark.range(-1, numbered).select(F.when(F.col("id") < 0, "").otherwise(F.concat(F.lit("-"), F.col("id").cast("string"))).alias("n"), each.alias("x"))
+    return named.select(F.concat(F.lit("http://"), F.col("x.site"), F.col("n"), F.lit(".example."), F.col("x.top"), F.lit("/")).alias("url"))
+
+
+#: The same in SQL. All entries are whole sites, so a page is listed if its host or a parent domain is.
+ORACLE_SQL = f"""
+WITH RECURSIVE p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), rules(verdict, h, p) AS (VALUES {", ".join(repr(r) for r in RULES)}
+), ruled AS (
+  SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
+    (SELECT max_by(struct_pack(v := verdict, n := r.h || r.p), length(r.h || r.p)) FROM rules r WHERE (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)) AS x
+  FROM h
+), listed AS (
+  SELECT site || n || '.example.' || top AS host FROM (VALUES {", ".join(f"('{s}')" for s in SITES)}) a(site), (VALUES {", ".join(f"('{t}')" for t in TOPS)}) b(top),
+    (SELECT '' AS n UNION ALL SELECT '-' || range FROM range({NUMBERED})) c
+), own AS (
+  SELECT DISTINCT host, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), '\\.*(:[0-9]*)?$', ''), '^www[0-9]*\\.', '') AS name FROM ruled WHERE x IS NULL
+), parents AS (
+  SELECT host, array_to_string(string_split(name, '.')[k:], '.') AS name FROM (SELECT host, name, unnest(range(1, len(string_split(name, '.')) + 1)) AS k FROM own)
+), bad AS (SELECT DISTINCT host FROM parents SEMI JOIN listed ON listed.host = parents.name)
+SELECT page_id, ruled.host, path, x.n AS rule, coalesce(x.v, CASE WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM ruled LEFT JOIN bad ON bad.host = ruled.host
+"""

@@ -17,17 +17,16 @@ from pyspark.sql.window import Window
 from .common import cut
 
 SCALE = 1024
-#: Scaled components saturate here, so that products over thousands of dimensions stay exact.
-LIMIT = float(1 << 20)
 CELLS = 256
 #: Rows of a block of the file, and of a block of queries; a task holds one of each.
 BLOCK, QUERY_BLOCK = 1024, 4096
 
 
 def scaled(v: Column) -> Column:
-    """floor(1024 * x) of each component, or null if the vector is null or has a null or non-finite one."""
+    """floor(1024 * x) of each component, or null if the vector is null or has a null or non-finite one. What no long can hold is an error."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    whole = F.transform(v, lambda x: F.floor(F.least(F.greatest(x.cast("double") * SCALE, F.lit(-LIMIT)), F.lit(LIMIT))))
+    floor = lambda x: F.floor(x.cast("double") * SCALE)
+    whole = F.transform(v, lambda x: F.when(F.abs(x.cast("double") * SCALE) < F.lit(2.0**63), floor(x)).otherwise(F.raise_error(F.lit("a component times 1024 exceeds a long")).cast("long")))
     return F.when(finite, whole)
 
 
@@ -50,7 +49,7 @@ def approximation_file(classes: DataFrame, spans: dict[int, tuple[np.ndarray, np
     cells = F.lit(None)
     for d, (lo, width) in spans.items():
         low, wide = (F.array(*[F.lit(int(x)) for x in a]) for a in (lo, width))
-        cell = F.transform(F.arrays_zip(F.col("v").alias("x"), low.alias("lo"), wide.alias("w")), lambda s: F.floor((s["x"] - s["lo"]) / s["w"]).cast("short"))
+        cell = F.transform(F.arrays_zip(F.col("v").alias("x"), low.alias("lo"), wide.alias("w")), lambda s: F.call_function("div", s["x"] - s["lo"], s["w"]).cast("short"))
         cells = F.when(F.size("v") == d, cell).otherwise(cells)
     return classes.select("class_id", F.size("v").alias("d"), F.pmod(F.xxhash64("class_id"), F.lit(blocks)).alias("block"), cells.cast("array<short>").alias("cells"))
 
@@ -60,26 +59,31 @@ def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
 
 
 def bounds(spans: dict[int, tuple[np.ndarray, np.ndarray]], most: int):
-    """Scans a block of cells for a block of queries; keeps what the block alone can't rule out of the best ``most``."""
-    names = ["query_id", "class_id", "low", "high"]
+    """Scans a block of cells for a block of queries; keeps what the block alone can't rule out of the best ``most``.
+
+    Bounds are in floating point and widened by more than its error, so large values only loosen them.
+    """
+    names = ["ask_id", "class_id", "low", "high"]
 
     def scan(key: tuple[pa.Scalar, ...], file: pa.Table, queries: pa.Table) -> pa.Table:
         d = key[0].as_py()
         if not file.num_rows or not queries.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in names})
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
         if d:
-            lo, width = spans[d]
+            lo, width = (x.astype(np.float64) for x in spans[d])
             q = _matrix(queries["v"], d)
             least = lo + _matrix(file["cells"], d) * width
             greatest = least + (width - 1)
             up, down = np.maximum(q, 0), np.minimum(q, 0)
             high, low = up @ greatest.T + down @ least.T, up @ least.T + down @ greatest.T
+            slack = (np.abs(q) @ np.maximum(np.abs(least), np.abs(greatest)).T) * ((d + 16) * 2.0**-51)
+            high, low = high + slack, low - slack
         else:
             high = low = np.zeros((queries.num_rows, file.num_rows))
         n = low.shape[1]
         floor = np.partition(low, n - most, axis=1)[:, n - most] if n > most else np.full(len(low), -np.inf)
         at, c = np.nonzero(high >= floor[:, None])
-        return pa.table({"query_id": queries["query_id"].take(pa.array(at)), "class_id": file["class_id"].take(pa.array(c)), "low": pa.array(low[at, c].astype(np.int64)), "high": pa.array(high[at, c].astype(np.int64))})
+        return pa.table([queries["ask_id"].take(pa.array(at)), file["class_id"].take(pa.array(c)), pa.array(low[at, c]), pa.array(high[at, c])], names=names)
 
     return scan
 
@@ -93,47 +97,51 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, block: int =
 
     Queries are the rows whose vec_id is divisible by ``query_every``; candidates are all rows
     but those with the query's vec_id. Only vectors of the query's length are compared. Null
-    ids and unusable vectors take no part, and repeated rows count once. Scaled components
-    beyond 2**20 saturate.
+    ids and unusable vectors take no part, and repeated rows count once; a vec_id with several
+    vectors stands with each. An empty table gives no rows. A score that no long can hold is an error.
 
     Equal vectors form one class, searched once. Only its k + 1 smallest ids can be in any
-    answer, one of them perhaps the query's own, and k + 1 classes hold k other ids. The
-    search is a grid of fixed blocks of the file by fixed blocks of queries, so a task's memory
-    doesn't grow with either.
+    answer, one of them perhaps the query's own, and k + 1 classes hold k other ids. The scan
+    is a grid of fixed blocks of the file by fixed blocks of queries, so a task's memory
+    doesn't grow with either. Exact vectors are then read in the order of their bounds, each
+    round twice as many as before, until no bound left reaches the best that were read.
     """
     rows = cut(usable(vectors))
     order = Window.partitionBy("v").orderBy("vec_id")
     members = cut(rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1))
     classes = cut(members.where("nth = 1").select(F.monotonically_increasing_id().alias("class_id"), "v"))
     members = members.join(classes, "v").select("class_id", "vec_id")
-    queries = rows.where(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("query_id"), "v")
+    queries = cut(rows.where(F.col("vec_id") % query_every == 0).select(F.monotonically_increasing_id().alias("ask_id"), F.col("vec_id").alias("query_id"), "v"))
     n, asked = classes.count(), queries.count()
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("query_id", "class_id", "low", "high")])
+    schema = T.StructType([T.StructField(x, t) for x, t in (("ask_id", T.LongType()), ("class_id", T.LongType()), ("low", T.DoubleType()), ("high", T.DoubleType()))])
     spans, blocks, groups, most = marks(classes), max(1, -(-n // block)), max(1, -(-asked // query_block)), k + 1
 
     file = approximation_file(classes, spans, blocks).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    ask = queries.select("query_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("query_id", "v"), F.lit(groups)).cast("int").alias("group"))
+    ask = queries.select("ask_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("ask_id"), F.lit(groups)).cast("int").alias("group"))
     ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ["d", "block", "group"]
     scanned = cut(file.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(bounds(spans, most), schema))
 
-    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    floor = scanned.withColumn("nth", F.row_number().over(by_low)).where(F.col("nth") <= most).groupBy("query_id").agg(F.min("low").alias("floor"), F.count("*").alias("n"))
-    floor = floor.select("query_id", F.when(F.col("n") == most, F.col("floor")).alias("floor"))
-    left = scanned.join(floor, "query_id").where("floor is null or high >= floor")
-    left = cut(left.select("query_id", "class_id", "high", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), "class_id")).alias("turn")))
-
-    def read(found: DataFrame) -> DataFrame:
-        exact = found.join(classes, "class_id").join(queries.withColumnRenamed("v", "q"), "query_id")
-        return exact.where(F.size("q") == F.size("v")).select("query_id", "class_id", dot(F.col("q"), F.col("v")).alias("score"))
-
-    first = cut(read(left.where(F.col("turn") <= most)))
-    certain = first.groupBy("query_id").agg(F.min("score").alias("kth"))
-    second = read(left.where(F.col("turn") > most).join(certain, "query_id").where("high >= kth"))
-    scores = first.unionByName(second).join(members, "class_id").where("vec_id <> query_id")
-    best = scores.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = lambda c: Window.partitionBy("ask_id").orderBy(F.desc(c))
+    floor = scanned.withColumn("nth", F.row_number().over(best("low"))).where(F.col("nth") <= most).groupBy("ask_id").agg(F.min("low").alias("floor"), F.count("*").alias("n"))
+    floor = floor.select("ask_id", F.when(F.col("n") == most, F.col("floor")).alias("floor"))
+    left = cut(scanned.join(floor, "ask_id").where("floor is null or high >= floor").select("ask_id", "class_id", "high"))
+
+    read, turn = None, most
+    while not left.isEmpty():
+        batch = left.withColumn("nth", F.row_number().over(best("high"))).where(F.col("nth") <= turn).drop("nth")
+        exact = batch.join(classes, "class_id").join(queries.select("ask_id", "query_id", F.col("v").alias("q")), "ask_id")
+        found = exact.where(F.size("q") == F.size("v")).select("ask_id", "query_id", "class_id", dot(F.col("q"), F.col("v")).alias("score"))
+        read = cut(found if read is None else read.unionByName(found))
+        certain = read.withColumn("nth", F.row_number().over(best("score"))).where(F.col("nth") <= most).groupBy("ask_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
+        left = left.join(read.select("ask_id", "class_id"), ["ask_id", "class_id"], "left_anti").join(certain, "ask_id")
+        left = cut(left.where((F.col("n") < most) | (F.col("high") >= F.col("kth").cast("double"))).select("ask_id", "class_id", "high"))
+        turn *= 2
+    if read is None:
+        return queries.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0).cast("long").alias("score")).where("false")
+    scores = read.join(members, "class_id").where("vec_id <> query_id").select("query_id", "vec_id", "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """
