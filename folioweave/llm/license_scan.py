@@ -1,16 +1,16 @@
 """License scan over a positional index of rare words.
 
-The index holds the rarest word of each license template's first key phrase, by document
-frequency over the whole corpus, with its place. A file looks up its words there. Each lookup
-names a template and the place where it would start; a hit counts only if the first key phrase
-stands there exactly, and the others where it puts them or a few words beside.
+The index holds, for each license template, its rarest words by document frequency over the
+whole corpus, with their places in the template. A file looks up every such word that it
+holds. Each lookup names a template and the place where it would start; a place counts if
+enough of the template's rare words, weighed by rarity, stand at their places relative to it,
+and if its mandatory key phrases do.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,10 @@ from .common import lower_ascii, once
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words that may be added or left out between one key phrase and the next; a template that is one phrase stands exactly.
 SLACK = 4
+#: Rare words of a template that are posted, and the share of them, by weight, that must stand in their places.
+RARE_WORDS, LEAST_SHARE = 8, 0.5
+#: A place is coded in a long: its template above, its start below, moved so that none is negative.
+PLACE_BITS, MOVED = 40, 1 << 10
 
 
 @dataclass(frozen=True)
@@ -71,6 +75,12 @@ TEMPLATES = (
     Template("cc-by-sa", "creative commons attribution sharealike"),
     Template("cc-by-nc", "creative commons attribution noncommercial"),
     Template("proprietary", "all rights reserved"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ("to deal in the software without restriction", "shall be included in all copies or substantial portions of the software")),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ("is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "the author disclaims all warranties with regard to this software")),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("in no event will the authors be held liable", "alter it and redistribute it freely")),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice")),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ("as published by the free software foundation", "in the hope that it will be useful but without any warranty")),
+    Template("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("licensed under the apache license version 2 0", "distributed on an as is basis without warranties or conditions of any kind")),
 )
 
 
@@ -93,66 +103,72 @@ def _rarest(words: list[str], idf: dict[str, float], most: int) -> list[int]:
     return [first[w] for w in sorted(first, key=lambda w: (-idf[w], first[w]))[:most]]
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare_words: int = 6) -> DataFrame:
+def posted_places(t: Template, idf: dict[str, float], rare_words: int) -> tuple[list[int], list[int]]:
+    """Places of a template's rare words, which vote; and those that are posted, with the rarest word of the first key phrase, so that no place is missed."""
+    rare = _rarest(t.words, idf, rare_words)
+    start, key = t.key_places()[0]
+    return rare, sorted({*rare, start + _rarest(key, idf, 1)[0]})
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare_words: int = RARE_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and places for every row of docs.
 
     A place is (label, base, at): a template's own start, as its first key phrase puts it, whose
-    key phrases were verified. A place's votes are those of the ``rare_words`` rarest words of
-    the template, by IDF over all documents, that stand where it puts them, as far beside as key
-    phrases may; ``score`` is the greatest IDF-weighted share of votes. Since the first key
-    phrase stands word for word in every place and its rarest word is looked up, none is missed. A null or empty text has no words and score 0;
-    repeated rows are scanned each; an empty table gives no rows. No row is shuffled but for
-    the counts of words.
+    key phrases were verified. Its votes are those of the ``rare_words`` rarest words of the
+    template, by IDF over all documents, that stand where it puts them, as far beside as key
+    phrases may. A place needs ``least_share`` of the IDF of all of them; ``score`` is the
+    greatest share. All rare words of a file are looked up, none is capped, and the first key
+    phrase's rarest word is always posted, so no place is missed. A null or empty text has no
+    words and score 0; repeated rows are scanned each; an empty table gives no rows. No row is
+    shuffled but for the counts of words.
     """
     vocabulary = sorted({w for t in templates for w in t.words})
     seen, n = document_frequencies(docs, vocabulary)
     idf = {w: math.log((n + 1) / (seen.get(w, 0) + 1)) + 1e-6 for w in vocabulary}
 
-    postings: dict[str, set[tuple[int, int]]] = {}
+    postings: dict[str, set[int]] = {}
     rare: list[list[tuple[int, str, float]]] = []
     for number, t in enumerate(templates):
-        places = _rarest(t.words, idf, rare_words)
-        rare.append([(p, t.words[p], idf[t.words[p]]) for p in places])
-        # A verified hit holds every key phrase, so the rarest word of the first is a lookup that can't miss it.
-        start, key = t.key_places()[0]
-        k = _rarest(key, idf, 1)[0]
-        postings.setdefault(key[k], set()).add((number, start + k))
-
-    def structs(found: set[tuple[int, int]]) -> Column:
-        return F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o")) for t, o in sorted(found)])
+        voting, posted = posted_places(t, idf, rare_words)
+        rare.append([(p, t.words[p], idf[t.words[p]]) for p in voting])
+        for p in posted:
+            # What a word's own number in the file must be added to, to name the place.
+            postings.setdefault(t.words[p], set()).add((number << PLACE_BITS) + MOVED - p)
 
-    index = F.create_map(*[x for w, found in sorted(postings.items()) for x in (F.lit(w), structs(found))])
+    index = F.create_map(*[x for w, found in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.lit(x).cast("long") for x in sorted(found)]))])
     words = F.col("words")
 
-    def stands(at: Column, phrase: list[str]) -> Column:
-        found = F.get(words, at) == phrase[0]
-        for k, w in enumerate(phrase[1:], 1):
-            found = found & (F.get(words, at + k) == w)
-        return F.coalesce(found, F.lit(False))
+    def as_data(number: int, t: Template) -> Column:
+        """A template as a literal: its key phrases, its voting words, and how far they may stand beside."""
+        slack = SLACK if t.keys else 0
+        keys = [F.struct(F.lit(start).alias("p"), F.lit(len(key)).alias("n"), F.lit(" ".join(key)).alias("phrase"), F.sequence(F.lit(-k * slack), F.lit(k * slack)).alias("beside")) for k, (start, key) in enumerate(t.key_places())]
+        votes = [F.struct(F.lit(p).alias("p"), F.lit(w).alias("w"), F.lit(x).alias("x")) for p, w, x in rare[number]]
+        wide, total = max(1, len(t.keys) - 1) * slack, sum(x for _, _, x in rare[number])
+        return F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(slack).alias("slack"), F.array(*keys).alias("keys"), F.array(*votes).alias("votes"), F.sequence(F.lit(-wide), F.lit(wide)).alias("beside"), F.lit(total).alias("total"))
 
-    def near(at: Column, phrase: list[str], slack: int) -> Column:
-        return reduce(lambda a, b: a | b, [stands(at + d, phrase) for d in sorted(range(-slack, slack + 1), key=abs)])
+    known = F.array(*[as_data(number, t) for number, t in enumerate(templates)])
 
     def verified(place: Column) -> Column:
         """Null if a key phrase is missing, else label, base, at and score."""
-        out = F.lit(None)
-        for number, t in enumerate(templates):
-            slack = SLACK if t.keys else 0
+        t = F.get(known, F.shiftright(place, PLACE_BITS).cast("int"))
+        at = (place.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) - MOVED).cast("int")
+
+        def judged(x: Column) -> Column:
+            t, at = x["t"], x["at"]
+            stands = lambda k, from_: (from_ >= 0) & (F.array_join(F.slice(words, F.greatest(from_, F.lit(0)) + 1, k["n"]), " ") == k["phrase"])
             # Words left out before the first key phrase may put the start before the file's own.
-            ok = place["at"] >= -slack
-            for k, (start, key) in enumerate(t.key_places()):
-                ok = ok & near(place["at"] + start, key, k * slack)
-            beyond = max(1, len(t.keys) - 1) * slack
-            total = sum(x for _, _, x in rare[number])
-            share = sum((F.when(near(place["at"] + p, [w], beyond), x).otherwise(0.0) for p, w, x in rare[number]), F.lit(0.0)) / total
-            hit = F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.greatest(place["at"], F.lit(0)).cast("long").alias("at"), F.least(share, F.lit(1.0)).alias("score"))
-            out = F.when((place["t"] == number) & ok, hit).otherwise(out) if number else F.when((place["t"] == number) & ok, hit)
-        return out
+            ok = (at >= -t["slack"]) & F.forall(t["keys"], lambda k: F.exists(k["beside"], lambda d: stands(k, at + k["p"] + d)))
+            voted = lambda v: F.exists(t["beside"], lambda d: F.coalesce(F.get(words, at + v["p"] + d) == v["w"], F.lit(False)))
+            share = F.least(F.aggregate(t["votes"], F.lit(0.0), lambda s, v: s + F.when(voted(v), v["x"]).otherwise(0.0)) / t["total"], F.lit(1.0))
+            return F.when(ok, F.struct(t["label"].alias("label"), t["base"].alias("base"), F.greatest(at, F.lit(0)).cast("long").alias("at"), share.alias("score")))
+
+        # An array of one binds both, which would else be computed at each use.
+        return F.get(F.transform(F.array(F.struct(t.alias("t"), at.alias("at"))), judged), F.lit(0))
 
     read = once(docs.select("doc_id", "text"), words=words_of(F.col("text"))).drop("text")
     looked_up = F.filter(F.transform(words, lambda w, i: F.when(w.isin(sorted(postings)), i)), lambda i: i.isNotNull())
-    named = F.flatten(F.transform(looked_up, lambda i: F.transform(F.element_at(index, F.get(words, i)), lambda p: F.struct(p["t"].alias("t"), (i - p["o"]).alias("at")))))
-    places = F.filter(F.transform(F.array_distinct(named), verified), lambda x: x.isNotNull())
+    named = F.array_distinct(F.flatten(F.transform(looked_up, lambda i: F.transform(F.element_at(index, F.get(words, i)), lambda p: p + i))))
+    places = F.filter(F.transform(named, verified), lambda x: x.isNotNull() & (x["base"] | (x["score"] >= least_share)))
     placed = once(read, n_words=F.size("words").cast("long"), places=places).drop("words")
     base = F.filter("places", lambda x: x["base"])
     starts = F.transform(base, lambda x: x["at"])
