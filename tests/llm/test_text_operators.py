@@ -177,3 +177,24 @@ def test_license_words_added_or_left_out_between_key_phrases(spark):
     assert {k: x["labels"] for k, x in got.items()} == {1: "mit", 2: "mit", 3: "apache", 4: "apache", 5: "bsd", 6: "", 7: "mit"}
     assert [x["at"] for x in got[1]["places"]] == [1] and [x["at"] for x in got[4]["places"]] == [0]
     assert got[7]["score"] == pytest.approx(1) and got[1]["score"] > 0.5 and got[6]["score"] == 0
+
+
+def test_short_and_mixed_values_behind_a_secrets_name(spark):
+    rows = [(1, "the password: Tr0ub4dor&3 is old", "a", "x"), (2, 'set password="pa55!word#2024" now', "a", "x"), (3, "the note: wonderful words", "a", "x"), (None, f'token = "{SECRET}"', "a", "x")]
+    found = secret_scan.scan(frame(spark, rows * 3)).collect()
+    assert {x["doc_id"] for x in found if x["is_secret"]} == {1, 2, None} and {x["n_chars"] for x in found if x["doc_id"] in (1, 2)} == {11, 14}
+    hidden = secret_scan.redacted(frame(spark, rows)).collect()
+    assert sorted(x["text"] for x in hidden) == sorted(["the note: wonderful words", "the password: [SECRET] is old", 'set password="[SECRET]" now', 'token = "[SECRET]"'])
+
+
+def test_findings_of_documents_and_the_language(spark):
+    texts = [f"thing and other words token = {zlib.crc32(b'%d' % k):08x}{zlib.crc32(b'x%d' % k):08x} commit {zlib.crc32(b'y%d' % k):08x}{zlib.crc32(b'z%d' % k):08x} incomprehensibilities" for k in range(200)]
+    docs = frame(spark, [(k, t, "s", "x") for k, t in enumerate(texts)])
+    known = secret_scan.language(docs)
+    chance = lambda a, b: known.chances[(ord(a) - 97) * 27 + ord(b) - 97]
+    assert {"thing", "other", "words"} <= set(known.words) and chance("t", "h") > chance("t", "z")
+    rows = secret_scan.document_findings(docs).withColumn("fold", secret_scan.F.crc32("found") % 4)
+    assert {(x["label"], x["n"]) for x in rows.groupBy("label").agg(secret_scan.F.count("*").alias("n")).collect()} == {(1.0, 200), (0.0, 400)}
+    model = secret_scan.train(rows.where("fold <> 2").unionByName(secret_scan.labelled_findings(spark).withColumn("fold", secret_scan.F.lit(0))), known=known)
+    shown = model.transform(secret_scan.featured(rows.where("fold = 2 and before <> ''"), known)).select("label", "prediction").collect()
+    assert len(shown) > 20 and sum(x["label"] == x["prediction"] for x in shown) >= 0.95 * len(shown)
