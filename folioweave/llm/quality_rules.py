@@ -90,6 +90,10 @@ def measured(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure(x) for x in text], columns=SCHEMA.names)
 
 
+#: Spark would repeat a function that it may at each use of its result, in a filter and above it.
+measured = measured.asNondeterministic()
+
+
 def digits(patterns: np.ndarray) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(len(RULES)) % 3
 
