@@ -27,6 +27,11 @@ def token_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")).cast("long")
 
 
+def identity(doc_id: Column, text: Column) -> Column:
+    """What a document's place is drawn from: its id or, lacking one, its text."""
+    return F.coalesce(doc_id.cast("string"), text)
+
+
 def place_of(doc_id: Column, seed: int) -> Column:
     """A document's place in the permutation of its source, from 0 to PLACES - 1."""
     return F.shiftrightunsigned(F.xxhash64(doc_id.cast("string"), F.lit(seed)), 64 - STEP_BITS * STEPS)
@@ -111,21 +116,22 @@ def thresholds(counted: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mixture_plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 11) -> DataFrame:
     """source, tokens, share, weight, wanted, full, until: a row for each source with tokens."""
-    counted = cut(docs.select("source", token_count(F.col("text")).alias("tokens"), place_of(F.col("doc_id"), seed).alias("place")))
+    counted = cut(docs.select("source", token_count(F.col("text")).alias("tokens"), place_of(identity(F.col("doc_id"), F.col("text")), seed).alias("place")))
     plan, _ = weights(source_shares(counted), target_entropy, max_repeats, budget)
     until = thresholds(counted, plan).withColumnRenamed("source", "own")
     return cut(plan.join(until, plan["source"].eqNullSafe(until["own"]), "left").drop("own", "rest"))
 
 
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 11, block_tokens: int = BLOCK_TOKENS, carry: tuple[str, ...] = ("doc_id", "source"), bare: bool = False) -> DataFrame:
-    """The mixture: a row for each reading of each document, with columns ``carry`` and, unless ``bare``, n_tokens, weight, epoch and block.
+    """The mixture: a row for each reading of each document, with columns ``carry`` and, unless ``bare``, n_tokens, weight, epoch, block and turn.
 
     A source is read ``full`` times, and once more up to the place in its permutation where its
     budget ends. A reading's block follows from the place it has in its source's own
     sequence, so every block holds each source by its weight, in an order that differs from
-    epoch to epoch. Null sources form a source of their own. A source without any token has no
+    epoch to epoch. ``turn`` orders the readings of a block: sorted by it, a block is a
+    permutation that mixes its sources. Null sources form a source of their own. A source without any token has no
     weight; its documents are read once, so nothing empty is lost. Repeated rows, and rows of
-    equal or null doc_id, share a place and are read alike; the budget is kept to within the
+    equal doc_id or, lacking one, equal text, share a place and are read alike; the budget is kept to within the
     documents of one place. An empty table gives no rows. Texts are not shuffled: only the
     plan, of a row for each source, meets the documents, broadcast if it is small.
     """
@@ -134,7 +140,7 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     blocks = max(1, -(-(wanted or 0) // block_tokens))
     p = maybe_broadcast(plan.select(F.col("source").alias("own"), F.col("tokens").alias("of"), "weight", "wanted", "full", "until"), n)
     own = [F.col("d")[c].alias(c) for c in carry]
-    read = once(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d")), n_tokens=token_count(F.col("d.text")), place=place_of(F.col("d.doc_id"), seed))
+    read = once(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d")), n_tokens=token_count(F.col("d.text")), place=place_of(identity(F.col("d.doc_id"), F.col("d.text")), seed))
     met = read.join(p, F.col("d.source").eqNullSafe(p["own"]), "left")
     epochs = F.when(F.col("of").isNull(), F.lit(1)).otherwise(F.col("full") + F.coalesce(F.col("place") < F.col("until"), F.lit(False)).cast("long"))
     readings = F.when(epochs > 0, F.sequence(F.lit(1).cast("long"), epochs)).otherwise(F.array().cast("array<bigint>"))
@@ -144,8 +150,9 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     # Where in its source's sequence a reading stands: whole readings go by a place of their own, the last by the common one.
     turned = F.when(F.col("epoch") > F.col("full"), F.col("place")).otherwise(F.shiftrightunsigned(F.xxhash64("place", "epoch"), 64 - STEP_BITS * STEPS))
     at = (F.col("epoch") - 1 + turned / F.lit(float(PLACES))) * F.col("of") / F.col("wanted")
+    turn = F.xxhash64("place", "epoch", F.lit(seed))
     block = F.least(F.floor(F.coalesce(at, turned / F.lit(float(PLACES))) * blocks), F.lit(blocks - 1))
-    return every.select(*own, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("epoch").cast("int").alias("epoch"), block.cast("long").alias("block"))
+    return every.select(*own, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("epoch").cast("int").alias("epoch"), block.cast("long").alias("block"), turn.alias("turn"))
 
 
 def mixed_documents(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 1.5, budget: int | None = None, seed: int = 11) -> DataFrame:

@@ -110,6 +110,18 @@ def test_readings_are_those_of_sorted_permutations(spark):
             assert got[i] == full + (rest >= 0), (source, i)
 
 
+def test_readings_without_ids_keep_the_budget_and_blocks_are_permuted(spark):
+    docs = frame(spark, [(None, f"w{k} " * 10, "hot") for k in range(300)] + [(k, "w " * 10, "rare") for k in range(30)])
+    got = mixing.mix(docs, max_repeats=1.5, block_tokens=600).collect()
+    n = Counter(x["source"] for x in got)
+    assert n["hot"] == 300 and 44 <= n["rare"] <= 45
+    for block in {x["block"] for x in got}:
+        turns = [(x["turn"], x["source"]) for x in got if x["block"] == block]
+        assert len(set(turns)) == len(turns)
+    order = [x["source"] for x in sorted(got, key=lambda x: (x["block"], x["turn"]))]
+    assert sum(a != b for a, b in zip(order, order[1:], strict=False)) > 30
+
+
 def test_candidates_are_the_long_runs_of_words(spark):
     r = random.Random(6)
     words = ["short", "a" * 15, "b" * 16, "0123456789abcdef0123", '"quoted/path_of+signs=="', "x" * 20 + "," + "y" * 17, "über" + "z" * 16, "." * 20, "q" * 5_000]
