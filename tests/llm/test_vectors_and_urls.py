@@ -111,6 +111,15 @@ def test_quality_is_learned_and_held_out(spark):
     assert fm_quality.score_quality(docs.where("false"), labels).count() == 0
 
 
+def test_two_runs_train_the_same_machine(spark):
+    rows = [(k, " ".join(f"w{(k * j) % 50}" for j in range(30)), 100) for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    turned = spark.createDataFrame(rows[::-1], "doc_id long, text string, n_chars long").repartition(5)
+    a, b = fm_quality.train(docs, labels), fm_quality.train(turned, labels)
+    assert a.w0 == b.w0 and np.array_equal(a.w, b.w) and np.array_equal(a.v, b.v)
+
+
 def test_the_machine_equals_all_pairs():
     r = np.random.default_rng(5)
     m = fm_quality.Machine(0.3, r.normal(0, 1, fm_quality.FEATURES).astype(np.float32), r.normal(0, 0.3, (fm_quality.FEATURES, fm_quality.FACTORS)).astype(np.float32))
