@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_quality, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, simhash_dedup, url_filter, va_topk
+from . import concat_packing, fm_quality, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, simhash_dedup, url_filter, va_topk
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concat_packing.packed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_va_file_topk": op1_va_file_topk,
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
+        "op11_concatenate_and_cut": op11_concatenate_and_cut,
     }
 
 
