@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import concat_packing, fm_quality, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, simhash_dedup, url_filter, va_topk
+from . import concat_packing, fm_quality, license_scan, line_dedup, mixing, packing, pivot_negatives, quality_rules, secret_scan, simhash_dedup, spelling, url_filter, va_topk
 from .common import table
 
 
@@ -56,6 +56,14 @@ def op11_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concat_packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op12_pivot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), relabel_every=7)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), worn=199)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_va_file_topk": op1_va_file_topk,
@@ -69,8 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
         "op11_concatenate_and_cut": op11_concatenate_and_cut,
+        "op12_pivot_hard_negatives": op12_pivot_hard_negatives,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_va_file_topk": va_topk.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL}
+    return {"op1_va_file_topk": va_topk.ORACLE_SQL, "op7_url_filter": url_filter.ORACLE_SQL, "op12_pivot_hard_negatives": pivot_negatives.ORACLE_SQL}

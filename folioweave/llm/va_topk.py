@@ -22,11 +22,11 @@ CELLS = 256
 BLOCK, QUERY_BLOCK = 1024, 4096
 
 
-def scaled(v: Column) -> Column:
-    """floor(1024 * x) of each component, or null if the vector is null or has a null or non-finite one. What no long can hold is an error."""
+def scaled(v: Column, scale: int = SCALE) -> Column:
+    """floor(scale * x) of each component, or null if the vector is null or has a null or non-finite one. What no long can hold is an error."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    floor = lambda x: F.floor(x.cast("double") * SCALE)
-    whole = F.transform(v, lambda x: F.when(F.abs(x.cast("double") * SCALE) < F.lit(2.0**63), floor(x)).otherwise(F.raise_error(F.lit("a component times 1024 exceeds a long")).cast("long")))
+    floor = lambda x: F.floor(x.cast("double") * scale)
+    whole = F.transform(v, lambda x: F.when(F.abs(x.cast("double") * scale) < F.lit(2.0**63), floor(x)).otherwise(F.raise_error(F.lit(f"a component times {scale} exceeds a long")).cast("long")))
     return F.when(finite, whole)
 
 
