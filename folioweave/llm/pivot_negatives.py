@@ -136,7 +136,9 @@ def scan(sphere: Sphere, k: int, same_label: bool):
                     r = at + a
                     needed = np.array([x if f is None else max(x, f) for x, f in zip(lows[r], floors[r], strict=True)], np.int64)
                     greatest = np.array(highs[r], np.int64)
-                    left = ((label == wanted[r]) == same_label) & (high[a] >= needed.min()) & (low[a] <= greatest.max())
+                    left = ((label == wanted[r]) == same_label) & (high[a] >= needed.min())
+                    if greatest.max() < GREATEST:  # else what exceeds a long must be seen, and raise
+                        left &= low[a] <= greatest.max()
                     if (got := _survivors(np.flatnonzero(left), high[a], q[r], x, most, needed, greatest, first, k)) is not None:
                         out.append((asked["ask_id"][r].as_py(), *got))
         if not out:
