@@ -2,77 +2,146 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.alignment import differences, with_places
+
 #: Lines that mark the two sides of a conflict.
 OURS, BETWEEN, THEIRS = "<<<<<<< ours", "=======", ">>>>>>> theirs"
 SIDES = ("base", "ours", "theirs")
 
 
-def paragraphs(versions: DataFrame) -> DataFrame:
-    """conv_id, anchor, and for each side its text, format and note: turns 0, 1 and 2 are base, ours and theirs.
+def versions_of(turns: DataFrame) -> DataFrame:
+    """conv_id, base, ours, theirs: lists of paragraphs of turns 0, 1 and 2; a conversation without turn 0 has an empty base.
 
-    A paragraph is a line, its place the anchor. A line without a full stop is a heading; what
-    stands in parentheses is its note.
+    A paragraph is a line. One without a full stop is a heading; what stands in parentheses is its note.
     """
-    each = versions.where("turn <= 2").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("anchor", "text"))
-    each = each.select("conv_id", "anchor", "turn", F.struct("text", F.when(F.col("text").endswith("."), "body").otherwise("heading").alias("format"), F.regexp_extract("text", r"\(([^)]*)\)", 1).alias("note")).alias("p"))
-    sides = [F.max(F.when(F.col("turn") == k, F.col("p"))).alias(s) for k, s in enumerate(SIDES)]
-    return each.groupBy("conv_id", F.col("anchor").cast("long").alias("anchor")).agg(*sides)
+    paragraph = lambda x: F.struct(x.alias("text"), F.when(x.endswith("."), "body").otherwise("heading").alias("format"), F.regexp_extract(x, r"\(([^)]*)\)", 1).alias("note"))
+    each = turns.where("turn <= 2").select("conv_id", "turn", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), paragraph).alias("p"))
+    return each.groupBy("conv_id").agg(*[F.coalesce(F.max_by("p", F.when(F.col("turn") == k, 1)), F.array().cast(each.schema["p"].dataType)).alias(s) for k, s in enumerate(SIDES)])
+
 
+def paragraphs(turns: DataFrame) -> DataFrame:
+    """What aligned() gives of turns 0, 1 and 2 of each conversation."""
+    return aligned(versions_of(turns), "conv_id")
 
-def kind(base: Column, ours: Column, theirs: Column) -> Column:
-    """structural, text, formatting, metadata or null. Each is a part that both sides changed, and not to the same."""
-    clash = lambda f: ~f(ours).eqNullSafe(f(base)) & ~f(theirs).eqNullSafe(f(base)) & ~f(ours).eqNullSafe(f(theirs))
-    gone = (ours.isNull() & theirs.isNotNull() & ~theirs.eqNullSafe(base)) | (theirs.isNull() & ours.isNotNull() & ~ours.eqNullSafe(base))
-    return (
-        F.when(base.isNotNull() & gone, "structural").when(clash(lambda x: x["text"]), "text")
-        .when(clash(lambda x: x["format"]), "formatting").when(clash(lambda x: x["note"]), "metadata")
-    )
+
+def aligned(versions: DataFrame, key: str) -> DataFrame:
+    """key, anchor, added, base, ours, theirs: the paragraphs of three versions, lists of text, format and note, side by side.
+
+    Each side is aligned with the base by its texts (see alignment.align). A base paragraph stands at its number, ``anchor``,
+    with what either side has of it; a new one (``added``) at the base paragraph it follows, or -1. Both
+    sides' new paragraphs of the same text at the same place are one. Beside its parts each
+    side has ``moved``, ``after`` and ``nth``, which say where it stands. Null lists are empty ones.
+    """
+    texts = {f"{s}_texts": F.transform(F.coalesce(F.col(s), F.array().cast(versions.schema[s].dataType)), lambda x: x["text"]) for s in SIDES}
+    placed = with_places(versions.select(key, *SIDES).withColumns(texts), "base_texts", "ours_texts", "theirs_texts")
+    parts = lambda p, at: F.struct(p["text"].alias("text"), p["format"].alias("format"), p["note"].alias("note"), at["moved"].alias("moved"), at["after"].alias("after"), at["nth"].alias("nth"))
+    stays = lambda i: F.struct(F.lit(False).alias("moved"), i.alias("after"), F.lit(0).alias("nth"))
+    rows = placed.select(key, F.posexplode("base").alias("i", "p")).select(key, F.col("i").alias("anchor"), F.lit(False).alias("added"), F.lit("").alias("new"), F.lit(0).alias("twin"), F.lit(0).alias("side"), parts(F.col("p"), stays(F.col("i"))).alias("p"))
+    for k, s in enumerate(SIDES[1:], 1):
+        each = placed.select(key, F.posexplode(F.arrays_zip(F.col(s).alias("p"), F.col(f"{s}_texts_places").alias("at"))).alias("i", "x"))
+        at, added = F.col("x.at"), F.col("x.at.at") < 0
+        rows = rows.unionByName(each.select(
+            key, F.when(added, at["after"]).otherwise(at["at"]).alias("anchor"), added.alias("added"), F.when(added, F.col("x.p.text")).otherwise("").alias("new"),
+            F.when(added, at["twin"]).otherwise(0).alias("twin"), F.lit(k).alias("side"), parts(F.col("x.p"), at).alias("p"),
+        ))
+    sides = [F.max(F.when(F.col("side") == k, F.col("p"))).alias(s) for k, s in enumerate(SIDES)]
+    return rows.groupBy(key, "anchor", "added", "new", "twin").agg(*sides).select(key, F.col("anchor").cast("long").alias("anchor"), "added", *SIDES)
 
 
 def with_kind(sides: DataFrame) -> DataFrame:
-    return sides.withColumn("kind", kind(*[F.col(s) for s in SIDES]))
+    """Adds kinds, all conflicts of a paragraph, and kind, the first of them: structural, text, formatting, metadata.
+
+    Each is a part that both sides changed, and not to the same: a paragraph deleted by one and
+    changed or moved by the other, or moved to different places; its text; its format; its note.
+    What both add, in the same place, is no conflict: both are kept.
+    """
+    b, o, t = (F.col(s) for s in SIDES)
+    clash = lambda f: ~o[f].eqNullSafe(b[f]) & ~t[f].eqNullSafe(b[f]) & ~o[f].eqNullSafe(t[f])
+    touched = lambda x: ~x["text"].eqNullSafe(b["text"]) | ~x["format"].eqNullSafe(b["format"]) | ~x["note"].eqNullSafe(b["note"]) | x["moved"]
+    gone = (o.isNull() & t.isNotNull() & touched(t)) | (t.isNull() & o.isNotNull() & touched(o))
+    apart = o["moved"] & t["moved"] & (o["after"] != t["after"])
+    both = o.isNotNull() & t.isNotNull()
+    found = [F.when(gone | apart, "structural"), *[F.when(both & clash(f), k) for f, k in (("text", "text"), ("format", "formatting"), ("note", "metadata"))]]
+    kinds = F.when(b.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*found)))
+    return sides.withColumn("kinds", kinds).withColumn("kind", F.get("kinds", F.lit(0)))
 
 
 def merged(sides: DataFrame) -> DataFrame:
-    """Adds merged to paragraphs with a kind: the changed side where one changed, else what ``choice`` says.
+    """Adds merged (its text), format, note, kept and order to paragraphs with their kinds.
 
-    choice is ours, theirs or edit (then column edit holds the text); without a choice a conflict stays open (null).
+    Of each part the result has what one side changed, where both did what ``choice`` says:
+    ours, theirs, or edit (then column edit is the text, and the rest is the base's). Without a
+    choice a conflict stays open: its text is null. ``kept`` says whether the paragraph is in
+    the result, ``order`` where.
     """
-    b, o, t = (F.col(s)["text"] for s in SIDES)
-    chosen = F.when(F.col("choice") == "ours", o).when(F.col("choice") == "theirs", t).when(F.col("choice") == "edit", F.col("edit"))
-    return sides.withColumn("merged", F.when(F.col("kind").isNotNull(), chosen).when(o.eqNullSafe(b), t).otherwise(o))
+    b, o, t, choice = (F.col(s) for s in (*SIDES, "choice"))
+    ours, theirs, edited = (choice.eqNullSafe(c) for c in ("ours", "theirs", "edit"))
+    clash, structural = F.size("kinds") > 0, F.array_contains("kinds", "structural")
+    added, gone = b.isNull(), b.isNotNull() & (o.isNull() | t.isNull())
+    picked = F.when(ours, o).when(theirs, t).when(edited, b)
+
+    def part(f: str) -> Column:
+        one = F.when(o[f].eqNullSafe(t[f]) | t[f].eqNullSafe(b[f]), o[f]).when(o[f].eqNullSafe(b[f]), t[f]).otherwise(picked[f])
+        return F.when(added, F.coalesce(o, t)[f]).when(gone, picked[f]).otherwise(one)
+
+    place = lambda x, rank: F.struct(x["after"].alias("after"), F.lit(rank).alias("rank"), x["nth"].alias("nth"))
+    by_ours, by_theirs = (x.isNotNull() & (added | x["moved"]) for x in (o, t))
+    order = F.when(by_theirs & (theirs | ~by_ours), place(t, 2)).when(by_ours, place(o, 1)).otherwise(place(b, 0))
+    return sides.withColumns({
+        "merged": F.when(clash & choice.isNull(), None).when(clash & edited, F.col("edit")).otherwise(part("text")),
+        "format": part("format"), "note": part("note"),
+        "kept": F.when(gone, structural & (choice.isNull() | picked.isNotNull())).otherwise(added | o.isNotNull()),
+        "order": F.when(structural & edited, place(b, 0)).otherwise(order),
+    })
+
+
+def merged_texts(paragraphs: DataFrame, key: str) -> DataFrame:
+    """key, text, n_open: the merged paragraphs in order, a line each; open conflicts stand as marker lines."""
+    line = F.when((F.size("kinds") > 0) & F.col("choice").isNull(), _markers()).otherwise(F.col("merged"))
+    at = F.when(F.col("kept"), F.struct("order", line.alias("line")))
+    found = paragraphs.groupBy(key).agg(F.sort_array(F.collect_list(at)).alias("lines"), F.count_if((F.size("kinds") > 0) & F.col("choice").isNull()).alias("n_open"))
+    return found.select(key, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"), "n_open")
+
+
+def undecided(sides: DataFrame) -> DataFrame:
+    """No choice for any conflict."""
+    return sides.withColumns({"choice": F.lit(None).cast("string"), "edit": F.lit(None).cast("string")})
 
 
 def chosen_by_length(sides: DataFrame) -> DataFrame:
-    """Chooses the longer side; one that deleted the paragraph is left to an edit of the base."""
+    """Chooses the side of the longer text; where one deleted the paragraph, an edit that restores the base's.
+
+    Where both moved it to different places, length says nothing: that stays open.
+    """
     o, t = F.length(F.col("ours")["text"]), F.length(F.col("theirs")["text"])
-    choice = F.when(o.isNull() | t.isNull(), "edit").when(o >= t, "ours").otherwise("theirs")
-    return sides.withColumns({"choice": F.when(F.col("kind").isNotNull(), choice), "edit": F.col("base")["text"]})
+    choice = F.when(o.isNull() | t.isNull(), "edit").when(F.array_contains("kinds", "structural"), None).when(o >= t, "ours").otherwise("theirs")
+    return sides.withColumns({"choice": F.when(F.size("kinds") > 0, choice), "edit": F.col("base")["text"]})
 
 
-def history(resolved: DataFrame) -> DataFrame:
+def history(resolved: DataFrame, key: str = "conv_id") -> DataFrame:
     """An append-only record of each conflict, keyed by hashes of its three sides, with the choice made."""
     digest = lambda s: F.md5(F.coalesce(F.col(s)["text"], F.lit("")))
-    return resolved.where("kind is not null").select("conv_id", "anchor", "kind", *[digest(s).alias(f"{s}_md5") for s in SIDES], "choice", F.md5(F.coalesce("merged", F.lit(""))).alias("merged_md5"))
+    return resolved.where("size(kinds) > 0").select(key, "anchor", F.explode("kinds").alias("kind"), *[digest(s).alias(f"{s}_md5") for s in SIDES], "choice", F.md5(F.coalesce("merged", F.lit(""))).alias("merged_md5"))
 
 
-def marked(sides: DataFrame) -> DataFrame:
-    """conv_id, anchor, marked: conflicts as raw marker text."""
+def _markers() -> Column:
     o, t = (F.coalesce(F.col(s)["text"], F.lit("")) for s in ("ours", "theirs"))
-    return sides.where("kind is not null").select("conv_id", "anchor", F.concat_ws("\n", F.lit(OURS), o, F.lit(BETWEEN), t, F.lit(THEIRS)).alias("marked"))
+    return F.concat_ws("\n", F.lit(OURS), o, F.lit(BETWEEN), t, F.lit(THEIRS))
 
 
-def unmarked(texts: DataFrame) -> DataFrame:
+def marked(sides: DataFrame, key: str = "conv_id") -> DataFrame:
+    """key, anchor, marked: conflicts as raw marker text."""
+    return sides.where("size(kinds) > 0").select(key, "anchor", _markers().alias("marked"))
+
+
+def unmarked(texts: DataFrame, key: str = "conv_id") -> DataFrame:
     """Marker text back to its two sides."""
     pattern = rf"(?s)^{OURS}\n(.*)\n{BETWEEN}\n(.*)\n{THEIRS}$"
-    return texts.select("conv_id", "anchor", F.regexp_extract("marked", pattern, 1).alias("ours"), F.regexp_extract("marked", pattern, 2).alias("theirs"))
+    return texts.select(key, "anchor", F.regexp_extract("marked", pattern, 1).alias("ours"), F.regexp_extract("marked", pattern, 2).alias("theirs"))
 
 
 def settled(text: Column) -> Column:
@@ -91,23 +160,9 @@ def change_kinds(versions: DataFrame, numstat: DataFrame, least: int = 3) -> Dat
     return pairs.select("conv_id", "turn", same.alias("format_only")).join(numstat, ["conv_id", "turn"]).select("conv_id", "turn", "format_only", (F.col("additions") + F.col("deletions") >= least).alias("substantial"))
 
 
-class LineDiff:
-    """Table function of two texts: op (' ', '-' or '+'), the line, and its place in the order of the difference."""
-
-    def eval(self, old: str | None, new: str | None) -> Iterator[tuple[int, str, str]]:
-        a, b = (old or "").split("\n"), (new or "").split("\n")
-        at = 0
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            for op, lines in ((" ", a[i:j]),) if tag == "equal" else (("-", a[i:j]), ("+", b[k:m])):
-                for x in lines:
-                    yield at, op, x
-                    at += 1
-
-
 def ordered_diff(versions: DataFrame) -> DataFrame:
-    """conv_id, turn, pos, op, line: each version's line difference from the one before, in order."""
-    spark = versions.sparkSession
-    spark.udtf.register("line_diff", F.udtf(LineDiff, returnType="pos bigint, op string, line string"))
+    """conv_id, turn, pos, op, line: each version's shortest line difference from the one before, in order."""
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n")
     pairs = versions.select("conv_id", "turn", "text", before.alias("old")).where("turn > 0")
-    return spark.sql("SELECT conv_id, turn, d.pos, d.op, d.line FROM {pairs}, LATERAL line_diff(old, text) AS d", pairs=pairs)
+    return differences(pairs.select("conv_id", "turn", lines(F.col("old")).alias("old"), lines(F.col("text")).alias("new")), "old", "new")

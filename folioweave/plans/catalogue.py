@@ -47,10 +47,6 @@ WITH l AS (SELECT DISTINCT conv_id, turn, unnest(string_split(coalesce(text, '')
 s AS (SELECT conv_id, line, bool_or(turn = 0) AS b, bool_or(turn = 1) AS o, bool_or(turn = 2) AS t FROM l GROUP BY ALL)
 SELECT conv_id, line, CASE WHEN b AND o AND t THEN 'kept' WHEN b AND o THEN 'removed_theirs' WHEN b AND t THEN 'removed_ours' WHEN b THEN 'removed_both'
   WHEN o AND t THEN 'added_both' WHEN o THEN 'added_ours' ELSE 'added_theirs' END AS status FROM s""")
-on("sections_both_touched", "conversations", lambda c: _turn(c, 1).subtract(_turn(c, 0)).intersect(_turn(c, 2).subtract(_turn(c, 0))), """
-WITH l AS (SELECT DISTINCT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations WHERE turn <= 2)
-(SELECT conv_id, line FROM l WHERE turn = 1 EXCEPT SELECT conv_id, line FROM l WHERE turn = 0)
-INTERSECT (SELECT conv_id, line FROM l WHERE turn = 2 EXCEPT SELECT conv_id, line FROM l WHERE turn = 0)""")
 
 # Commits -------------------------------------------------------------------
 

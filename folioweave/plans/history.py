@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import masked
 from ..operators import conflicts, records, versions
+from .drafts import MERGE_SQL, drafts
 from .registry import on
 
 _TYPE = "CASE o_orderpriority WHEN '1-URGENT' THEN 'fix' WHEN '2-HIGH' THEN 'feat' WHEN '3-MEDIUM' THEN 'review' WHEN '4-NOT SPECIFIED' THEN 'draft' WHEN '5-LOW' THEN 'format' ELSE 'other' END"
@@ -44,35 +45,33 @@ SELECT h.a, h.b, base, steps FROM h LEFT JOIN (SELECT a, b, base, steps, row_num
 
 # Conflicts -----------------------------------------------------------------
 
-_SIDES = """
-WITH l AS (SELECT conv_id, turn, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS anchor, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM conversations WHERE turn <= 2),
-p AS (SELECT *, CASE WHEN text LIKE '%.' THEN 'body' ELSE 'heading' END AS format, regexp_extract(text, '\\(([^)]*)\\)', 1) AS note FROM l),
-s AS (SELECT conv_id, anchor, """ + ", ".join(f"max({c}) FILTER (turn = {k}) AS {n}{c[0]}" for k, n in enumerate("bot") for c in ("text", "format", "note")) + """ FROM p GROUP BY ALL),
-k AS (SELECT *, CASE WHEN bt IS NOT NULL AND ((ot IS NULL AND tt IS NOT NULL AND tt <> bt) OR (tt IS NULL AND ot IS NOT NULL AND ot <> bt)) THEN 'structural'
-  WHEN ot IS DISTINCT FROM bt AND tt IS DISTINCT FROM bt AND ot IS DISTINCT FROM tt THEN 'text' WHEN "of" IS DISTINCT FROM bf AND tf IS DISTINCT FROM bf AND "of" IS DISTINCT FROM tf THEN 'formatting'
-  WHEN "on" IS DISTINCT FROM bn AND tn IS DISTINCT FROM bn AND "on" IS DISTINCT FROM tn THEN 'metadata' END AS kind FROM s),
-c AS (SELECT *, CASE WHEN kind IS NULL THEN NULL WHEN ot IS NULL OR tt IS NULL THEN 'edit' WHEN length(ot) >= length(tt) THEN 'ours' ELSE 'theirs' END AS choice FROM k),
-m AS (SELECT *, CASE WHEN choice = 'ours' THEN ot WHEN choice = 'theirs' THEN tt WHEN choice = 'edit' THEN bt WHEN ot IS NOT DISTINCT FROM bt THEN tt ELSE ot END AS merged FROM c)
-"""
+
+def _kinds(d: DataFrame) -> DataFrame:
+    return conflicts.with_kind(conflicts.aligned(drafts(d), "doc_id"))
 
 
-def _kinds(c: DataFrame) -> DataFrame:
-    return conflicts.with_kind(conflicts.paragraphs(c))
+def _merged(d: DataFrame) -> DataFrame:
+    return conflicts.merged(conflicts.chosen_by_length(_kinds(d)))
 
 
-def _merged(c: DataFrame) -> DataFrame:
-    return conflicts.merged(conflicts.chosen_by_length(_kinds(c)))
+def _both_touched(d: DataFrame) -> DataFrame:
+    rows = conflicts.aligned(drafts(d), "doc_id").where("not added")
+    by = lambda s: rows.where(~F.col(f"{s}.text").eqNullSafe(F.col("base.text")) | ~F.col(f"{s}.format").eqNullSafe(F.col("base.format")) | ~F.col(f"{s}.note").eqNullSafe(F.col("base.note")) | F.col(f"{s}.moved")).select("doc_id", "anchor")
+    return by("ours").intersect(by("theirs"))
 
 
-on("conflict_kinds", "conversations", lambda c: _kinds(c).select("conv_id", "anchor", "kind"), _SIDES + "SELECT conv_id, anchor, kind FROM k")
-on("conflict_resolution", "conversations", lambda c: _merged(c).select("conv_id", "anchor", "kind", "choice", "merged"), _SIDES + "SELECT conv_id, anchor, kind, choice, merged FROM m")
-on("conflict_history", "conversations", lambda c: conflicts.history(_merged(c)), _SIDES + "SELECT conv_id, anchor, kind, md5(coalesce(bt, '')) AS base_md5, md5(coalesce(ot, '')) AS ours_md5, md5(coalesce(tt, '')) AS theirs_md5, choice, md5(coalesce(merged, '')) AS merged_md5 FROM m WHERE kind IS NOT NULL")
 _MARKED = "'<<<<<<< ours' || chr(10) || coalesce(ot, '') || chr(10) || '=======' || chr(10) || coalesce(tt, '') || chr(10) || '>>>>>>> theirs'"
-on("conflict_markers", "conversations", lambda c: conflicts.marked(_kinds(c)), _SIDES + f"SELECT conv_id, anchor, {_MARKED} AS marked FROM k WHERE kind IS NOT NULL")
-on("conflict_markers_split", "conversations", lambda c: conflicts.unmarked(conflicts.marked(_kinds(c))), _SIDES + "SELECT conv_id, anchor, coalesce(ot, '') AS ours, coalesce(tt, '') AS theirs FROM k WHERE kind IS NOT NULL")
-on("conflict_success", "conversations", lambda c: _merged(c).where("kind is not null").agg(F.round(F.count("merged") / F.count("*"), 6).alias("rate")), _SIDES + "SELECT round(count(merged) / count(*), 6) AS rate FROM m WHERE kind IS NOT NULL")
-on("conflict_distance", "conversations", lambda c: _kinds(c).where("kind = 'text'").select("conv_id", "anchor", F.levenshtein(F.regexp_replace("ours.text", "[^ -~]", "?"), F.regexp_replace("theirs.text", "[^ -~]", "?")).cast("long").alias("distance")),
-   _SIDES + "SELECT conv_id, anchor, levenshtein(regexp_replace(ot, '[^ -~]', '?', 'g'), regexp_replace(tt, '[^ -~]', '?', 'g')) AS distance FROM k WHERE kind = 'text'")
+on("conflict_kinds", "documents", lambda d: _kinds(d).select("doc_id", "anchor", "added", "kind"), MERGE_SQL + "SELECT doc_id, anchor, added, kind FROM r")
+on("conflict_resolution", "documents", lambda d: _merged(d).select("doc_id", "anchor", "kind", "choice", "merged", "format", "note", "kept"), MERGE_SQL + "SELECT doc_id, anchor, kind, choice, merged, format, note, kept FROM r")
+on("conflict_merged_texts", "documents", lambda d: conflicts.merged_texts(_merged(d), "doc_id").select("doc_id", F.md5("text").alias("text_md5"), "n_open"), MERGE_SQL + f"""
+SELECT doc_id, md5(coalesce(string_agg(CASE WHEN kind IS NOT NULL AND choice IS NULL THEN {_MARKED} ELSE merged END, chr(10) ORDER BY p1, p2, p3) FILTER (kept), '')) AS text_md5, count(*) FILTER (kind IS NOT NULL AND choice IS NULL) AS n_open FROM r GROUP BY 1""")
+on("conflict_history", "documents", lambda d: conflicts.history(_merged(d), "doc_id"), MERGE_SQL + "SELECT doc_id, anchor, kind, md5(coalesce(bt, '')) AS base_md5, md5(coalesce(ot, '')) AS ours_md5, md5(coalesce(tt, '')) AS theirs_md5, choice, md5(coalesce(merged, '')) AS merged_md5 FROM r WHERE kind IS NOT NULL")
+on("conflict_markers", "documents", lambda d: conflicts.marked(_kinds(d), "doc_id"), MERGE_SQL + f"SELECT doc_id, anchor, {_MARKED} AS marked FROM r WHERE kind IS NOT NULL")
+on("conflict_markers_split", "documents", lambda d: conflicts.unmarked(conflicts.marked(_kinds(d), "doc_id"), "doc_id"), MERGE_SQL + "SELECT doc_id, anchor, coalesce(ot, '') AS ours, coalesce(tt, '') AS theirs FROM r WHERE kind IS NOT NULL")
+on("conflict_success", "documents", lambda d: _merged(d).where("kind is not null").groupBy("kind").agg(F.round(F.count("choice") / F.count("*"), 6).alias("rate")), MERGE_SQL + "SELECT kind, round(count(choice) / count(*), 6) AS rate FROM r WHERE kind IS NOT NULL GROUP BY 1")
+# Both sides begin with the base's text, so the distance is that of what follows it; -1 would be over 100.
+on("conflict_distance", "documents", lambda d: _kinds(d).where("kind = 'text'").select("doc_id", "anchor", F.levenshtein("ours.text", "theirs.text", 100).cast("long").alias("distance")), MERGE_SQL + "SELECT doc_id, anchor, levenshtein(substring(ot, length(bt) + 1), substring(tt, length(bt) + 1)) AS distance FROM r WHERE kind = 'text'")
+on("sections_both_touched", "documents", _both_touched, MERGE_SQL + "SELECT doc_id, anchor FROM r WHERE NOT added AND ours_touched AND theirs_touched")
 on("change_kinds", "conversations", lambda c: conflicts.change_kinds(c, versions.numstat(c)), """
 WITH l AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations), c AS (SELECT conv_id, turn, line, count(*) AS n FROM l GROUP BY ALL), v AS (SELECT DISTINCT conv_id, turn FROM conversations),
 m AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn + 1) AS turn, abs(coalesce(a.n, 0) - coalesce(b.n, 0)) AS d
