@@ -54,11 +54,11 @@ def tracked(docs: DataFrame, known: DataFrame) -> DataFrame:
     return docs.join(seen, "doc_id", "left").select("doc_id", F.when(F.col("seen"), "tracked").otherwise("untracked").alias("status"))
 
 
-# Locks: events of one document (user_id % documents) by its users ---------------------------
+# Locks: events of one document by its users, of whom five share it --------------------------
 
 
-def document(user: Column, documents: int = 20) -> Column:
-    return user % documents
+def document(user: Column) -> Column:
+    return F.floor(user / 5)
 
 
 def locks_in_force(events: DataFrame, hours: int = LOCK_HOURS) -> DataFrame:
@@ -92,9 +92,8 @@ def join_queue(events: DataFrame) -> DataFrame:
 
 
 def released_within(events: DataFrame, minutes: int = 60) -> DataFrame:
-    """request, release of the same document up to ``minutes`` later, joined by buckets of time."""
-    width = minutes * 60
-    e = events.select("event_id", "event_type", document(F.col("user_id")).alias("doc"), seconds(F.col("ts")).alias("s")).withColumn("bucket", F.expr(f"s div {width}"))
-    asked = e.where(F.col("event_type") == EDIT).select("doc", F.col("event_id").alias("request"), F.col("s").alias("sa"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    freed = e.where(F.col("event_type") == RELEASE).select("doc", F.col("event_id").alias("release"), F.col("s").alias("sb"), "bucket")
-    return asked.join(freed, ["doc", "bucket"]).where(f"sb between sa and sa + {width}").select("request", "release")
+    """request, release: each request with the next release of its document, if that comes within ``minutes``."""
+    after = Window.partitionBy("doc").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    freed = F.when(F.col("event_type") == RELEASE, F.struct("event_id", "ts"))
+    e = events.where(F.col("event_type").isin(EDIT, RELEASE)).withColumn("doc", document(F.col("user_id"))).withColumn("next", F.first(freed, ignorenulls=True).over(after))
+    return e.where((F.col("event_type") == EDIT) & (F.col("next.ts") <= F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTES"))).select(F.col("event_id").alias("request"), F.col("next.event_id").alias("release"))

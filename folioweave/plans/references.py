@@ -111,7 +111,7 @@ on("impact_transitive", "lineitem orders customer supplier", lambda i, o, c, s:
 
 # Locks ------------------------------------------------------------------------
 
-_DOC = "user_id % 20"
+_DOC = "user_id // 5"
 on("locks_in_force", "events", sharing.locks_in_force, f"""
 WITH x AS (SELECT event_id, {_DOC} AS doc, ts, last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN {{'e': event_id, 'u': user_id, 't': ts, 'k': event_type}} END IGNORE NULLS) OVER (PARTITION BY {_DOC} ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM events)
 SELECT event_id, doc, CASE WHEN ok THEN l.e END AS lock_event_id, CASE WHEN ok THEN l.u END AS holder, CASE WHEN ok THEN l.t + INTERVAL 12 HOUR END AS expires FROM (SELECT *, l.k = 'signup' AND ts <= l.t + INTERVAL 12 HOUR AS ok FROM x)""")
@@ -119,8 +119,9 @@ on("lock_holder_changes", "events", sharing.holder_changes, f"SELECT doc, event_
 on("join_request_queue", "events", sharing.join_queue, f"""
 WITH r AS (SELECT {_DOC} AS doc, event_id, ts, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY {_DOC} ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('click', 'purchase'))
 SELECT doc, event_id, row_number() OVER (PARTITION BY doc, k ORDER BY ts, event_id) AS place FROM r WHERE event_type = 'click'""")
-_WITHIN = f"WITH e AS (SELECT event_id, event_type, {_DOC} AS doc, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS s FROM events) SELECT a.event_id AS request, b.event_id AS release FROM e a JOIN e b ON a.event_type = 'click' AND b.event_type = 'purchase' AND a.doc = b.doc AND b.s BETWEEN a.s AND a.s + 3600"
-on("join_requests_released", "events", sharing.released_within, _WITHIN)
+on("join_requests_released", "events", sharing.released_within, f"""
+WITH e AS (SELECT event_id, event_type, {_DOC} AS doc, ts FROM events), n AS (SELECT *, first_value(CASE WHEN event_type = 'purchase' THEN {{'id': event_id, 't': ts}} END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f FROM e)
+SELECT event_id AS request, f.id AS release FROM n WHERE event_type = 'click' AND f.t <= ts + INTERVAL 1 HOUR""")
 
 # Streams, replayed to their end: files in, files out ------------------------------
 
@@ -129,17 +130,33 @@ def _events(spark, d):
     return replay.event_stream(spark, f"{d}/events.parquet")
 
 
-streamed("stream_rate_limit", lambda spark, d: replay.run(spark, replay.hourly_counts(_events(spark, d)), "complete"), "SELECT date_trunc('hour', ts) AS hour, user_id, count(*) AS n FROM events GROUP BY 1, 2")
-streamed("stream_daily_activity", lambda spark, d: replay.run(spark, replay.daily_counts(_events(spark, d)), "complete"), "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _appended(apply, inputs=1):
+    return lambda spark, d: replay.replayed(spark, f"{d}/events.parquet", apply, inputs=inputs).rows
+
+
+def _accounts(spark, d):
+    """Every row is kept, late or repeated; those of one file come in one trigger, and none of them is late."""
+    got = replay.replayed(spark, f"{d}/events.parquet", replay.audit)
+    return got.rows.agg(F.count("*").alias("n_kept")).select(F.lit(got.n_input).cast("long").alias("n_input"), "n_kept", F.lit(got.n_late).cast("long").alias("n_late"), F.lit(got.n_repeated).cast("long").alias("n_repeated"))
+
+
+streamed("stream_rate_limit", _appended(replay.hourly_counts), "SELECT date_trunc('hour', ts) AS hour, user_id, count(*) AS n FROM events GROUP BY 1, 2")
+streamed("stream_daily_activity", _appended(replay.daily_counts), "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+streamed("stream_moving_activity", _appended(replay.moving_counts), "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k AS start, event_type, count(*) AS n FROM events, (SELECT unnest(range(4)) AS k) GROUP BY 1, 2")
+streamed("stream_accounts", _accounts, "SELECT count(*) AS n_input, count(*) AS n_kept, CAST(0 AS BIGINT) AS n_late, CAST(0 AS BIGINT) AS n_repeated FROM events")
 streamed("stream_lock_state", lambda spark, d: replay.run(spark, replay.lock_counts(_events(spark, d)), "update", "user_id"), """
 WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS last FROM events WHERE event_type IN ('signup', 'purchase'))
 SELECT user_id, bool_or(event_type = 'signup' AND last = 1) AS held, count(*) FILTER (event_type = 'signup' AND before IS DISTINCT FROM 'signup') AS acquired, count(*) FILTER (event_type = 'signup' AND before = 'signup') AS refused FROM e GROUP BY 1""")
-streamed("stream_lock_timeouts", lambda spark, d: replay.run(spark, replay.lock_lifecycle(_events(spark, d)), "append"))  # tests hold it against a machine stepped event by event
-streamed("stream_audit", lambda spark, d: replay.run(spark, replay.audit(_events(spark, d)), "append"), "SELECT DISTINCT event_id, user_id, event_type FROM events")
+streamed("stream_lock_timeouts", _appended(replay.locks_in_order))  # tests hold it against a machine stepped event by event
+streamed("stream_join_answers", _appended(replay.join_answers), f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY doc, k ORDER BY ts, event_id) AS nth FROM (SELECT {_DOC} AS doc, event_id, ts, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY {_DOC} ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('click', 'purchase'))),
+p AS (SELECT a.doc, a.event_id AS request, CASE WHEN b.ts <= a.ts + INTERVAL 1 HOUR THEN b.event_id END AS release, a.ts, b.ts AS freed, a.k FROM r a LEFT JOIN r b ON b.doc = a.doc AND b.k = a.k + 1 AND b.event_type = 'purchase' WHERE a.event_type = 'click')
+SELECT doc, request, release, CASE WHEN release IS NOT NULL THEN row_number() OVER (PARTITION BY doc, k, release IS NULL ORDER BY ts, request) END AS place FROM p""")
+streamed("stream_audit", _appended(replay.audit), "SELECT DISTINCT event_id, user_id, event_type FROM events")
 streamed("stream_event_owner", lambda spark, d: replay.run(spark, replay.with_dimension(_events(spark, d), table(spark, d, "customer")), "append"), "SELECT event_id, c_name AS owner FROM events JOIN customer ON c_custkey = user_id")
 streamed("stream_change_alerts", lambda spark, d: replay.run(spark, replay.alerts(_events(spark, d), table(spark, d, "orders")), "append"), "SELECT event_id, user_id, n AS n_affected FROM events JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = user_id WHERE event_type = 'click' AND value > 50")
-streamed("stream_auto_commits", lambda spark, d: replay.run(spark, replay.auto_commits(_events(spark, d)), "complete"), """
+streamed("stream_auto_commits", _appended(replay.auto_commits), """
 WITH c AS (SELECT * FROM events WHERE event_type = 'click'), g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, count(*) AS edits FROM s GROUP BY user_id, k HAVING count(*) >= 2""")
-streamed("stream_join_requests", lambda spark, d: replay.run(spark, replay.requests_met(_events(spark, d), _events(spark, d)), "append"), _WITHIN.replace("CAST(epoch(date_trunc('second', ts)) AS BIGINT)", "epoch_us(ts)").replace("a.s + 3600", "a.s + 3600000000"))
+streamed("stream_join_requests", _appended(replay.requests_met, inputs=2), f"SELECT a.event_id AS request, b.event_id AS release FROM events a JOIN events b ON a.event_type = 'click' AND b.event_type = 'purchase' AND a.user_id // 5 = b.user_id // 5 AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
