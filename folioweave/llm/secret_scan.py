@@ -27,6 +27,8 @@ MIN_CHARS = 16
 MIN_ASSIGNED = 6
 #: A candidate: the longest run of such characters in a word, of MIN_CHARS or more.
 CORE = r"[A-Za-z0-9_+/=.-]*[A-Za-z0-9_+/=-]"
+#: What an assignment gives, at the end of a word, and what closes it.
+OWN = rf"(?:^|[=:])[\"'`]?([^\"'`=:]{{{MIN_ASSIGNED},}}?)([\"'`]?[,;.)]*)$"
 #: Words that placeholders and identifiers are made of.
 DICTIONARY = (
     "access", "account", "address", "admin", "another", "application", "authorization", "before", "between", "build", "change", "changeme",
@@ -100,7 +102,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     out = read.select("key", "doc_id", "path", "words", F.explode(long_).alias("word_at"))
     out = out.select("key", "doc_id", "path", F.col("word_at").cast("long").alias("word_at"), near(0).alias("word"), F.concat_ws(" ", near(-2), near(-1)).alias("before"), near(1).alias("after"))
     cores = F.filter(F.regexp_extract_all("word", F.lit(CORE), F.lit(0)), lambda c: F.length(c) >= MIN_CHARS)
-    own = F.regexp_extract("word", rf"(?:^|[=:])[\"'`]?([^\"'`=:]{{{MIN_ASSIGNED},}}?)[\"'`]?[,;.)]*$", 1)
+    own = F.regexp_extract("word", OWN, 1)
     named = lower_ascii(F.concat_ws(" ", "before", F.regexp_extract("word", r"^([^=:]*[=:])", 1))).rlike(rf"(?:{SECRET_WORDS})[a-z_]*[\"'`]?\s*[=:]\s*$")
     cores = F.when(F.size(cores) > 0, cores).when(named & (own != ""), F.array(own)).otherwise(F.array().cast("array<string>"))
     return out.withColumn("found", F.explode(cores))
@@ -229,9 +231,35 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, keep_at: float = 0.
     )
 
 
+def places(word: Column, found: Column) -> Column:
+    """Where in its word a candidate stands: a list of starts, from 1. A run of such characters stands wherever it is whole, an assigned value at the end."""
+    runs = F.regexp_extract_all(word, F.lit(CORE), F.lit(0))
+    none = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("starts"))
+
+    def step(done: Column, run: Column) -> Column:
+        at = F.call_function("locate", run, word, done["next"])
+        return F.struct((at + F.length(run)).alias("next"), F.when(run == found, F.array_append(done["starts"], at)).otherwise(done["starts"]).alias("starts"))
+
+    whole = F.aggregate(runs, none, step)["starts"]
+    behind = F.regexp_extract(word, OWN, 2)
+    return F.when(F.size(whole) > 0, whole).otherwise(F.array((F.length(word) - F.length(behind) - F.length(found) + 1).cast("int")))
+
+
 def redacted(docs: DataFrame, findings: DataFrame | None = None, keep_at: float = 0.5, path: str = "source", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the secrets found in their texts replaced by ``mask``, whatever their doc_id."""
-    bad = scored(docs, findings, path).where(F.col("chance") >= keep_at).groupBy(F.col("key").alias("own_key")).agg(F.collect_set("found").alias("own_bad"))
+    """``docs`` with the secrets found in their texts replaced by ``mask``, each where it was found, whatever their doc_id.
+
+    What looks like a secret elsewhere, or within another word, stays. Texts without secrets, nulls among them, are as they were.
+    """
+    bad = scored(docs, findings, path).where(F.col("chance") >= keep_at).select("key", "word_at", F.explode(places(F.col("word"), F.col("found"))).alias("at"), F.length("found").alias("n"))
+    bad = bad.groupBy("key", "word_at").agg(F.sort_array(F.collect_set(F.struct("at", "n")), asc=False).alias("cuts"))
+    bad = bad.groupBy(F.col("key").alias("own_key")).agg(F.map_from_entries(F.collect_list(F.struct("word_at", "cuts"))).alias("own_cuts"))
     met = docs.join(bad, F.xxhash64(docs["text"]) == bad["own_key"], "left")
-    text = F.aggregate(F.coalesce(bad["own_bad"], F.array().cast("array<string>")), docs["text"], lambda t, b: F.replace(t, b, F.lit(mask)))
+    pieces = F.regexp_extract_all(docs["text"], F.lit(rf"{SPACE}|[^\x20\x09-\x0D]+"), F.lit(0))
+    begins = docs["text"].rlike(rf"\A{SPACE}").cast("int")  # white space comes first
+
+    def cut_out(piece: Column, i: Column) -> Column:
+        cuts = F.when((i - begins) % 2 == 0, bad["own_cuts"][((i - begins) / 2).cast("long")])
+        return F.aggregate(F.coalesce(cuts, F.array().cast("array<struct<at:int,n:int>>")), piece, lambda t, c: F.concat(F.substring(t, F.lit(1), c["at"] - 1), F.lit(mask), F.substring(t, c["at"] + c["n"], F.length(t))))
+
+    text = F.when(bad["own_key"].isNull(), docs["text"]).otherwise(F.array_join(F.transform(pieces, cut_out), ""))
     return met.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])

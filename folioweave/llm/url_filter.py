@@ -54,17 +54,17 @@ def canonical_host(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.*(:\d*)?$", ""), r"^www\d*\.", "")
 
 
-def lookup_keys(host: Column, path: Column, labels_listed: int, depth_listed: int) -> Column:
+def lookup_keys(host: Column, path: Column, labels_listed: int, depth_listed: int, fewest_labels: int = 1) -> Column:
     """The canonical URLs under which a page may be listed: its whole path and leading
     directories, each under its host and the host's parent domains.
 
-    Keys of more than ``labels_listed`` host labels, and directories of more than
-    ``depth_listed`` slashes, are left out: no entry of the list has so many.
+    Keys of more than ``labels_listed`` host labels or fewer than ``fewest_labels``, and directories
+    of more than ``depth_listed`` slashes, are left out: no entry of the list has so many or so few.
     """
     host = canonical_host(host)
     labels = F.split(host, r"\.")
     most = F.size(labels)
-    hosts = F.array_distinct(F.transform(F.sequence(F.greatest(most - max(labels_listed, 2), F.lit(0)), F.greatest(most - 2, F.lit(0))), lambda k: F.array_join(F.slice(labels, k + 1, most), ".")))
+    hosts = F.array_distinct(F.transform(F.sequence(F.greatest(most - labels_listed, F.lit(0)), F.greatest(most - min(fewest_labels, labels_listed), F.lit(0))), lambda k: F.array_join(F.slice(labels, k + 1, most), ".")))
     path = F.when(path == "", "/").otherwise(F.regexp_replace(path, "/+", "/"))
     parts = F.split(path, "/")
     depth = F.size(parts) - 1
@@ -107,10 +107,11 @@ def listed_pages(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """Distinct url of the pages whose lookup keys meet the list: Bloom filter first, exact hash join after."""
     keys = cut(canonical_list(listed))
     parts = F.split("key", "/")
-    n, labels, depth = keys.agg(F.count("*"), F.coalesce(F.max(F.size(F.split(parts[0], r"\."))), F.lit(0)), F.coalesce(F.max(F.size(parts) - 1), F.lit(0))).first()
+    labels = F.size(F.split(parts[0], r"\."))
+    n, most, fewest, depth = keys.agg(F.count("*"), *[F.coalesce(x, F.lit(1)) for x in (F.max(labels), F.min(labels), F.max(F.size(parts) - 1))]).first()
     filter_rows, blocks = bloom_blocks(keys, n)
     urls = pages.select("url").where(F.col("url").isNotNull()).distinct()
-    probes = urls.select("url", F.explode(lookup_keys(*host_and_path(F.col("url")), labels, depth)).alias("key")).withColumn("block", _block(F.col("key"), blocks))
+    probes = urls.select("url", F.explode(lookup_keys(*host_and_path(F.col("url")), most, depth, fewest)).alias("key")).withColumn("block", _block(F.col("key"), blocks))
     hit = reduce(lambda a, b: a & b, [F.col(f"w{k}").bitwiseAND(b) == b for k, b in enumerate(_bits(F.col("key")))])
     possible = probes.join(maybe_broadcast(filter_rows, -(-n // KEYS_PER_BLOCK), 1_000_000), "block").where(hit).select("url", "key")
     exact = keys if n > 10_000 else F.broadcast(keys)

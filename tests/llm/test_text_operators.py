@@ -198,3 +198,26 @@ def test_findings_of_documents_and_the_language(spark):
     model = secret_scan.train(rows.where("fold <> 2").unionByName(secret_scan.labelled_findings(spark).withColumn("fold", secret_scan.F.lit(0))), known=known)
     shown = model.transform(secret_scan.featured(rows.where("fold = 2 and before <> ''"), known)).select("label", "prediction").collect()
     assert len(shown) > 20 and sum(x["label"] == x["prediction"] for x in shown) >= 0.95 * len(shown)
+
+
+def test_redaction_is_by_place(spark):
+    """A secret that is part of another, or looks like a word elsewhere, is cut out where it stands and nowhere else."""
+    a = "7Gk29xQzLm40PwVt"
+    texts = [
+        f'password = "{a}" then token = "{a}99ZrTq81"', f'  token = "{a}",\n\nsecret="{a}99ZrTq81" {a[:6]}x', "password: dragon9 and a dragon9fly here", f"token={a} {a}. no{a}", None, "", "plain words only",
+    ]
+    docs = frame(spark, [(k, t, "a", "x") for k, t in enumerate(texts)])
+    found = secret_scan.scored(docs, None, "source").where("chance >= 0.5").select("doc_id", "word_at", "word", "found").collect()
+    want = {}
+    for k, text in enumerate(texts):
+        parts = re.split(r"([ \t-\r]+)", text or "")
+        words = [i for i, p in enumerate(parts) if p and not p.isspace()]
+        for x in sorted({(x["word_at"], x["found"]) for x in found if x["doc_id"] == k}, key=lambda x: -len(x[1])):
+            i = words[x[0]]
+            runs = [m.start() for m in re.finditer(r"[A-Za-z0-9_+/=.-]*[A-Za-z0-9_+/=-]", parts[i]) if m.group() == x[1]]
+            for at in reversed(runs or [parts[i].rindex(x[1])]):
+                parts[i] = parts[i][:at] + "[SECRET]" + parts[i][at + len(x[1]) :]
+        want[k] = None if text is None else "".join(parts)
+    got = {x["doc_id"]: x["text"] for x in secret_scan.redacted(docs).collect()}
+    assert got == want
+    assert got[0] == 'password = "[SECRET]" then token = "[SECRET]"' and got[2] == "password: [SECRET] and a dragon9fly here"

@@ -126,3 +126,11 @@ def test_the_machine_equals_all_pairs():
     at, x = fm_quality.features("some words, some more words here", 33)
     plain = m.w0 + (m.w[at] * x).sum() + sum(float(m.v[at[i]] @ m.v[at[j]]) * x[i] * x[j] for i in range(len(at)) for j in range(i))
     assert m.probability(at, x, np.array([0]))[0] == pytest.approx(1 / (1 + math.exp(-plain)), abs=1e-4)
+
+
+def test_parents_of_one_label_are_looked_up(spark):
+    pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(("http://x.xxx/p", "http://xxx/", "http://a.b.xxx", "http://x.xxy/p", "http://xxx.com/"))], "page_id long, url string, verdict string, rule string")
+    verdicts = lambda *listed: [x["verdict"] for x in url_filter.judge_urls(pages, spark.createDataFrame([(u,) for u in listed], "url string")).orderBy("page_id").collect()]
+    assert verdicts("http://xxx/") == ["block", "block", "block", "allow", "allow"]
+    assert verdicts("http://xxx/", "http://n.m.b.xxx/") == ["block", "block", "block", "allow", "allow"]
+    assert verdicts("http://b.xxx/", "http://x.xxx/p") == ["block", "allow", "block", "allow", "allow"]
