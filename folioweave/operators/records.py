@@ -133,12 +133,48 @@ def ancestry(edges: DataFrame) -> DataFrame:
         n = state
 
 
-def merge_bases(heads: DataFrame, above: DataFrame) -> DataFrame:
-    """Adds base to ``heads`` (a, b): the common ancestor, perhaps one of them, of fewest steps to both, the smaller on a tie."""
-    reach = lambda end: heads.select("a", "b", F.col(end).alias("child")).join(above, "child").select("a", "b", F.col("ancestor").alias("base"), "distance").unionByName(heads.select("a", "b", F.col(end).alias("base"), F.lit(0).cast("long").alias("distance")))
-    both = reach("a").join(reach("b").withColumnRenamed("distance", "other"), ["a", "b", "base"])
-    best = both.groupBy("a", "b").agg(F.min(F.struct((F.col("distance") + F.col("other")).alias("steps"), "base")).alias("x"))
-    return heads.join(best, ["a", "b"], "left").select("a", "b", F.col("x.base").alias("base"), F.col("x.steps").alias("steps"))
+def condensed(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """child, parent, steps of the history without the commits of one parent and one child, but for those of ``kept`` (column commit).
+
+    Runs of such commits become one edge. They are followed by doubling, so a run of n takes log n rounds.
+    """
+    e = cut(edges.select("child", "parent").distinct())
+    one = lambda end: e.groupBy(F.col(end).alias("commit")).agg(F.count("*").alias("n")).where("n = 1").select("commit")
+    inner = one("child").join(one("parent"), "commit").join(kept.select("commit"), "commit", "left_anti")
+    jumps = cut(e.join(inner.withColumnRenamed("commit", "child"), "child").select(F.col("child").alias("commit"), F.col("parent").alias("to"), F.lit(1).cast("long").alias("steps")))
+    while True:
+        on = jumps.select(F.col("commit").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
+        jumps = cut(jumps.join(on, "to", "left").select("commit", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved")))
+        moved = not jumps.where("moved").isEmpty()
+        jumps = jumps.drop("moved")
+        if not moved:
+            break
+    ends = e.join(jumps.select(F.col("commit").alias("child")), "child", "left_anti").join(jumps.withColumnRenamed("commit", "parent"), "parent", "left")
+    return ends.groupBy("child", F.coalesce("to", "parent").alias("parent")).agg(F.min(F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+
+
+def merge_bases(heads: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds base and steps to ``heads`` (a, b): the common ancestor, perhaps one of them, of fewest steps to both, the smaller on a tie.
+
+    Both heads walk up the condensed history at once. A commit met by both bounds the steps, and
+    no walk goes on beyond that bound, so what is read is what lies about as far as the base, not
+    the history. A base has two children or is a head: another's only child would be nearer to both.
+    """
+    pairs = cut(heads.select("a", "b").distinct())
+    up = cut(condensed(edges, pairs.select(F.col("a").alias("commit")).union(pairs.select("b")).distinct()))
+    start = lambda end: pairs.select("a", "b", F.lit(end).alias("side"), F.col(end).alias("commit"), F.lit(0).cast("long").alias("steps"))
+    reached = front = cut(start("a").unionByName(start("b")))
+    while True:
+        by = lambda end: reached.where(F.col("side") == end).select("a", "b", "commit", F.col("steps").alias(f"steps_{end}"))
+        met = by("a").join(by("b"), ["a", "b", "commit"])
+        best = cut(met.groupBy("a", "b").agg(F.min(F.struct((F.col("steps_a") + F.col("steps_b")).alias("steps"), F.col("commit").alias("base"))).alias("best")))
+        if front.isEmpty():
+            return heads.select("a", "b").join(best, ["a", "b"], "left").select("a", "b", F.col("best.base").alias("base"), F.col("best.steps").alias("steps"))
+        nearer = front.join(best, ["a", "b"], "left").where("best is null or steps < best.steps")
+        further = nearer.join(up.select(F.col("child").alias("commit"), "parent", F.col("steps").alias("more")), "commit").groupBy("a", "b", "side", F.col("parent").alias("commit")).agg(F.min(F.col("steps") + F.col("more")).alias("steps"))
+        known = reached.select("a", "b", "side", "commit", F.col("steps").alias("known"))
+        front = cut(further.join(known, ["a", "b", "side", "commit"], "left").where("known is null or steps < known").drop("known"))
+        reached = cut(reached.unionByName(front).groupBy("a", "b", "side", "commit").agg(F.min("steps").alias("steps")))
 
 
 def heads(orders: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ a AS (SELECT child, ancestor, min(distance) AS distance FROM r GROUP BY ALL)
 """
 on("commit_parents", "orders", records.parents, _PARENTS + "SELECT child, parent FROM e")
 on("commit_ancestry", "orders", lambda o: records.ancestry(records.parents(o)), _PARENTS + "SELECT child, ancestor, distance FROM a")
-on("merge_bases", "orders", lambda o: records.merge_bases(records.heads(o), records.ancestry(records.parents(o))), _PARENTS + """,
+on("merge_bases", "orders", lambda o: records.merge_bases(records.heads(o), records.parents(o)), _PARENTS + """,
 h AS (SELECT c, arg_max(k, (t, k)) FILTER (s = 'O') AS a, arg_max(k, (t, k)) FILTER (s = 'P') AS b FROM o GROUP BY c HAVING count(*) FILTER (s = 'O') > 0 AND count(*) FILTER (s = 'P') > 0),
 z AS (SELECT child, ancestor, distance FROM a UNION ALL SELECT k, k, 0 FROM o),
 m AS (SELECT h.a, h.b, x.ancestor AS base, x.distance + y.distance AS steps FROM h JOIN z x ON x.child = h.a JOIN z y ON y.child = h.b AND y.ancestor = x.ancestor)
