@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut
-from .va_topk import scaled
+from .va_topk import scaled, waves
 
 SCALE = 256
 PIVOTS = 16
@@ -26,8 +26,6 @@ PIVOTS = 16
 SAMPLE = 2048
 #: Vectors and anchors that a task compares, and anchors it holds bounds of at once.
 BLOCK, ANCHORS, AT_ONCE = 8192, 2048, 64
-#: A wave of blocks is so many times as large as all before it, whose results are its floors.
-WAVE = 16
 EXACT_FIRST = 256
 
 
@@ -173,13 +171,6 @@ def _survivors(left: np.ndarray, high: np.ndarray, q: np.ndarray, x: np.ndarray,
     return row[chosen], score[chosen]
 
 
-def _waves(blocks: int) -> Iterator[tuple[int, int]]:
-    begun, size = 0, 1
-    while begun < blocks:
-        yield begun, min(begun + size, blocks)
-        begun, size = begun + size, (begun + size) * WAVE
-
-
 def _with_floors(asks: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """asks with the kth score found so far in each window, null where fewer were found."""
     windows = asks.select("ask_id", F.posexplode("highs").alias("w", "greatest"))
@@ -238,7 +229,7 @@ def hard_negatives(
     def search(asks: DataFrame, k: int, same_label: bool) -> DataFrame:
         keys, found = ["d", "block", "group"], None
         asks = asks.withColumn("floors", F.transform("highs", lambda x: F.lit(None).cast("long")))
-        for begun, ended in _waves(blocks):
+        for begun, ended in waves(blocks):
             here = table.where(F.col("block").between(begun, ended - 1)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
             there = asks.withColumn("group", F.pmod(F.xxhash64("ask_id"), F.lit(groups)).cast("int"))
             there = there.withColumn("block", F.explode(F.sequence(F.lit(begun).cast("long"), F.lit(ended - 1).cast("long"))))

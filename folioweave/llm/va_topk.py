@@ -7,6 +7,8 @@ read in order of their upper bounds until no unread one can reach the kth best.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,9 +19,10 @@ from pyspark.sql.window import Window
 from .common import cut
 
 SCALE = 1024
+WAVE = 16
 CELLS = 256
-#: Rows of a block of the file, and of a block of queries; a task holds one of each.
-BLOCK, QUERY_BLOCK = 1024, 4096
+#: Rows of a block of the file, and of a block of queries, of which a task holds one each; and queries whose bounds it holds at once.
+BLOCK, QUERY_BLOCK, AT_ONCE = 16_384, 4096, 64
 
 
 def scaled(v: Column, scale: int = SCALE) -> Column:
@@ -45,13 +48,20 @@ def marks(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def approximation_file(classes: DataFrame, spans: dict[int, tuple[np.ndarray, np.ndarray]], blocks: int) -> DataFrame:
-    """class_id, d, block and cells of every vector."""
-    cells = F.lit(None)
-    for d, (lo, width) in spans.items():
-        low, wide = (F.array(*[F.lit(int(x)) for x in a]) for a in (lo, width))
-        cell = F.transform(F.arrays_zip(F.col("v").alias("x"), low.alias("lo"), wide.alias("w")), lambda s: F.call_function("div", s["x"] - s["lo"], s["w"]).cast("short"))
-        cells = F.when(F.size("v") == d, cell).otherwise(cells)
-    return classes.select("class_id", F.size("v").alias("d"), F.pmod(F.xxhash64("class_id"), F.lit(blocks)).alias("block"), cells.cast("array<short>").alias("cells"))
+    """class_id, d, block and cells of every vector, a byte for each component."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, cells = batch["d"].to_numpy(), [b""] * batch.num_rows
+            for d in np.unique(sizes[sizes > 0]):
+                at, (lo, width) = np.flatnonzero(sizes == d), spans[int(d)]
+                v = batch["v"].take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
+                for k, row in zip(at, ((v - lo) // width).astype(np.uint8), strict=True):
+                    cells[k] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch["class_id"], batch["d"], batch["block"], pa.array(cells, pa.binary())], ["class_id", "d", "block", "cells"])
+
+    rows = classes.select("class_id", F.size("v").alias("d"), F.pmod(F.xxhash64("class_id"), F.lit(blocks)).alias("block"), "v")
+    return rows.mapInArrow(encode, "class_id long, d int, block long, cells binary")
 
 
 def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
@@ -59,35 +69,50 @@ def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
 
 
 def bounds(spans: dict[int, tuple[np.ndarray, np.ndarray]], most: int):
-    """Scans a block of cells for a block of queries; keeps what the block alone can't rule out of the best ``most``.
+    """Scans a block of cells for a block of queries; keeps what neither the block nor a query's ``floor`` rules out of the best ``most``.
 
     Bounds are in floating point and widened by more than its error, so large values only loosen them.
     """
     names = ["ask_id", "class_id", "low", "high"]
 
     def scan(key: tuple[pa.Scalar, ...], file: pa.Table, queries: pa.Table) -> pa.Table:
-        d = key[0].as_py()
+        d, found = key[0].as_py(), []
         if not file.num_rows or not queries.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
         if d:
             lo, width = (x.astype(np.float64) for x in spans[d])
-            q = _matrix(queries["v"], d)
-            least = lo + _matrix(file["cells"], d) * width
-            greatest = least + (width - 1)
-            up, down = np.maximum(q, 0), np.minimum(q, 0)
-            high, low = up @ greatest.T + down @ least.T, up @ least.T + down @ greatest.T
-            slack = (np.abs(q) @ np.maximum(np.abs(least), np.abs(greatest)).T) * ((d + 16) * 2.0**-51)
-            high, low = high + slack, low - slack
-        else:
-            high = low = np.zeros((queries.num_rows, file.num_rows))
-        n = low.shape[1]
-        floor = np.partition(low, n - most, axis=1)[:, n - most] if n > most else np.full(len(low), -np.inf)
-        at, c = np.nonzero(high >= floor[:, None])
-        return pa.table([queries["ask_id"].take(pa.array(at)), file["class_id"].take(pa.array(c)), pa.array(low[at, c]), pa.array(high[at, c])], names=names)
+            least = lo + np.frombuffer(b"".join(file["cells"].to_pylist()), np.uint8).reshape(-1, d) * width
+            greatest, questions = least + (width - 1), _matrix(queries["v"], d)
+            reach = np.maximum(np.abs(least), np.abs(greatest))
+        known = np.array([-np.inf if x is None else x for x in queries["floor"].to_pylist()])
+        for k in range(0, queries.num_rows, AT_ONCE):
+            if d:
+                q = questions[k : k + AT_ONCE]
+                up, down = np.maximum(q, 0), np.minimum(q, 0)
+                high, low = up @ greatest.T + down @ least.T, up @ least.T + down @ greatest.T
+                slack = (np.abs(q) @ reach.T) * ((d + 16) * 2.0**-51)
+                high, low = high + slack, low - slack
+            else:
+                high = low = np.zeros((min(AT_ONCE, queries.num_rows - k), file.num_rows))
+            n, floor = low.shape[1], known[k : k + AT_ONCE]
+            if n > most:
+                floor = np.maximum(floor, np.partition(low, n - most, axis=1)[:, n - most])
+            at, c = np.nonzero(high >= floor[:, None])
+            found.append((at + k, c, low[at, c], high[at, c]))
+        at, c, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([queries["ask_id"].take(pa.array(at)), file["class_id"].take(pa.array(c)), pa.array(low), pa.array(high)], names=names)
 
     return scan
 
 
+def waves(blocks: int) -> Iterator[tuple[int, int]]:
+    """Ranges of blocks, each WAVE times as many as all before it: what those found are its floors."""
+    begun, size = 0, 1
+    while begun < blocks:
+        yield begun, min(begun + size, blocks)
+        begun, size = begun + size, (begun + size) * WAVE
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
 
@@ -103,7 +128,8 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, block: int =
     Equal vectors form one class, searched once. Only its k + 1 smallest ids can be in any
     answer, one of them perhaps the query's own, and k + 1 classes hold k other ids. The scan
     is a grid of fixed blocks of the file by fixed blocks of queries, so a task's memory
-    doesn't grow with either. Exact vectors are then read in the order of their bounds, each
+    doesn't grow with either. It goes in waves of ever more blocks; each starts from the kth lower
+    bounds of those before, so what the blocks give grows with the queries. Exact vectors are then read in the order of their bounds, each
     round twice as many as before, until no bound left reaches the best that were read.
     """
     rows = cut(usable(vectors))
@@ -116,15 +142,16 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, block: int =
     schema = T.StructType([T.StructField(x, t) for x, t in (("ask_id", T.LongType()), ("class_id", T.LongType()), ("low", T.DoubleType()), ("high", T.DoubleType()))])
     spans, blocks, groups, most = marks(classes), max(1, -(-n // block)), max(1, -(-asked // query_block)), k + 1
 
-    file = approximation_file(classes, spans, blocks).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    ask = queries.select("ask_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("ask_id"), F.lit(groups)).cast("int").alias("group"))
-    ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    keys = ["d", "block", "group"]
-    scanned = cut(file.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInArrow(bounds(spans, most), schema))
-
     best = lambda c: Window.partitionBy("ask_id").orderBy(F.desc(c))
-    floor = scanned.withColumn("nth", F.row_number().over(best("low"))).where(F.col("nth") <= most).groupBy("ask_id").agg(F.min("low").alias("floor"), F.count("*").alias("n"))
-    floor = floor.select("ask_id", F.when(F.col("n") == most, F.col("floor")).alias("floor"))
+    file, asks, keys, scanned = cut(approximation_file(classes, spans, blocks)), queries.select("ask_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64("ask_id"), F.lit(groups)).cast("int").alias("group")), ["d", "block", "group"], None
+    floor = asks.select("ask_id", F.lit(None).cast("double").alias("floor"))
+    for begun, ended in waves(blocks):
+        here = file.where(F.col("block").between(begun, ended - 1)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        there = asks.join(floor, "ask_id", "left").withColumn("block", F.explode(F.sequence(F.lit(begun).cast("long"), F.lit(ended - 1).cast("long"))))
+        found = cut(here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(bounds(spans, most), schema))
+        scanned = found if scanned is None else scanned.unionByName(found)
+        kth = scanned.withColumn("nth", F.row_number().over(best("low"))).where(F.col("nth") <= most).groupBy("ask_id").agg(F.min("low").alias("floor"), F.count("*").alias("n"))
+        floor = cut(kth.select("ask_id", F.when(F.col("n") == most, F.col("floor")).alias("floor")))
     left = cut(scanned.join(floor, "ask_id").where("floor is null or high >= floor").select("ask_id", "class_id", "high"))
 
     read, turn = None, most
