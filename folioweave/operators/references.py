@@ -128,13 +128,6 @@ def commits_behind(forks: DataFrame, orders: DataFrame) -> DataFrame:
     return seen.join(made, "item_id", "left").select("item_id", "doc_id", F.greatest(F.coalesce("versions", F.lit(0)) - F.col("n"), F.lit(0)).cast("long").alias("behind"))
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, same: whether a text taken apart into numbered paragraphs and put together again is the text."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    again = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("again"))
-    return docs.join(again, "doc_id", "left").select("doc_id", F.col("text").eqNullSafe(F.col("again")).alias("same"))
-
-
 def conversion_mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
     """conv_id, turn, pos of the paragraphs that differ between two conversions (conv_id, turn, text), lost ones included."""
     each = lambda df, n: df.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", n))

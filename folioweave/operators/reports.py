@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import EMAIL, matches
+from ..session import new_folder
 from .records import ISO, commit_hash
 
 #: What users are warned of, by situation.
@@ -146,24 +147,22 @@ def property_values(events: DataFrame) -> DataFrame:
     return events.select("event_id", parsed["k"].alias("k"), F.to_json(parsed).alias("rebuilt"))
 
 
-def as_json(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+def json_files(df: DataFrame) -> DataFrame:
+    """The frame written as files of JSON lines and read again."""
+    path = new_folder(df.sparkSession, "json")
+    df.write.json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)
 
 
-def from_json(lines: DataFrame, like: DataFrame) -> DataFrame:
-    return lines.select(F.from_json("value", like.schema).alias("x")).select("x.*")
+def xml_files(df: DataFrame) -> DataFrame:
+    """The frame written as XML files and read again. White space at the ends of texts is kept; empty texts are read as nulls."""
+    path = new_folder(df.sparkSession, "xml")
+    df.write.option("rowTag", "row").xml(path)
+    return df.sparkSession.read.schema(df.schema).option("rowTag", "row").option("ignoreSurroundingSpaces", "false").xml(path)
 
 
-def as_xml(df: DataFrame) -> DataFrame:
-    return df.select(F.to_xml(F.struct(*df.columns)).alias("value"))
-
-
-def from_xml(lines: DataFrame, like: DataFrame) -> DataFrame:
-    return lines.select(F.from_xml("value", like.schema).alias("x")).select("x.*")
-
-
-def sent_and_read_again(df: DataFrame, send, receive) -> DataFrame:
+def sent_and_read_again(df: DataFrame, through) -> DataFrame:
     """lost and made up rows of an interchange format: both 0 if the round trip keeps every row."""
-    again = receive(send(df), df)
+    again = through(df)
     side = lambda x, n: x.agg(F.count("*").alias("n")).select(F.lit(n).alias("side"), "n")
     return side(df.exceptAll(again), "lost").unionByName(side(again.exceptAll(df), "made_up"))

@@ -75,3 +75,30 @@ r AS (SELECT doc_id, i AS anchor, false AS added, kind, choice, bt, CASE WHEN NO
   UNION ALL SELECT doc_id, i, true, NULL, NULL, NULL, new, NULL, new, 'body', '', true, i, 1, 1, true, false FROM (SELECT *, 'After ' || (i + 1) || ' inserted by ours' AS new FROM m WHERE o_inserts)
   UNION ALL SELECT doc_id, i, true, NULL, NULL, NULL, NULL, new, new, 'body', '', true, i, 2, 1, false, true FROM (SELECT *, 'After ' || (i + 1) || ' inserted by theirs' AS new FROM m WHERE t_inserts))
 """
+
+
+# Documents with marks, for the conversions ---------------------------------------------------------
+
+
+def marked_up(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraphs: a line is a paragraph, a heading if it has no full stop, with bold and italic first words, suggestions and comments by its number."""
+    def paragraph(x: Column, i: Column) -> Column:
+        head = F.substring_index(x, " ", 1)
+        run = lambda text, bold, italic, suggested: F.struct(text.alias("text"), bold.alias("bold"), italic.alias("italic"), suggested.alias("suggested"))
+        first = run(head, i % 3 == 0, i % 5 == 0, F.lit(""))
+        rest = run(F.substring(x, F.length(head) + 1, F.length(x)), F.lit(False), F.lit(False), F.when(i % 7 == 3, "ins").otherwise(""))
+        style = F.when(x.endswith("."), "NORMAL_TEXT").otherwise(F.concat(F.lit("HEADING_"), (1 + i % 6).cast("string")))
+        note = F.array(F.struct(F.lit("reviewer|a").alias("author"), F.substring(x, 1, 20).alias("content")))
+        return F.struct(style.alias("style"), F.array(first, rest).alias("runs"), F.when(i % 11 == 5, note).otherwise(F.array().cast("array<struct<author:string,content:string>>")).alias("comments"))
+
+    return docs.select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), paragraph).alias("paragraphs"))
+
+
+#: p: what a conversion to text alone loses of each paragraph (of an empty text, the paragraph itself).
+LOSSES_SQL = """
+WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i, len(lines) AS n FROM x),
+h AS (SELECT *, split_part(line, ' ', 1) AS head FROM l),
+p AS (SELECT doc_id, i AS pos, unnest(CASE WHEN n = 1 AND line = '' THEN ['text'] ELSE list_filter([CASE WHEN line NOT LIKE '%.' THEN 'style' END, CASE WHEN i % 3 = 0 AND head <> '' THEN 'bold' END, CASE WHEN i % 5 = 0 AND head <> '' THEN 'italic' END,
+  CASE WHEN i % 7 = 3 AND head <> line THEN 'suggestion' END, CASE WHEN i % 11 = 5 THEN 'comment' END], lambda y: y IS NOT NULL) END) AS part FROM h)
+"""

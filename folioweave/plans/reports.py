@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import commits, documents, references, reports, versions
 from ..operators.access import roles
+from ..session import stored
+from ..sources import formats
+from . import drafts
 from .registry import on
 
 on("monthly_active_share", "events", reports.monthly_active, "SELECT strftime(ts, '%Y-%m') AS month, count(DISTINCT user_id) AS active, round(count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events), 6) AS share FROM events GROUP BY 1")
@@ -40,10 +45,36 @@ t AS (SELECT conv_id, turn, unnest([{'s': greatest(a - d, 0), 't': 'feat'}, {'s'
 SELECT conv_id, turn, t AS type FROM (SELECT conv_id, turn, x.t AS t, row_number() OVER (PARTITION BY conv_id, turn ORDER BY x.s DESC, x.t DESC) AS r FROM t) WHERE r = 1""")
 on("property_values", "events", reports.property_values, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS rebuilt FROM events")
 _NONE = "SELECT * FROM (VALUES ('lost', CAST(0 AS BIGINT)), ('made_up', CAST(0 AS BIGINT))) t(side, n)"
-on("json_round_trip", "orders", lambda o: reports.sent_and_read_again(o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), reports.as_json, reports.from_json), _NONE)
-on("xml_round_trip", "customer", lambda c: reports.sent_and_read_again(roles(c), reports.as_xml, reports.from_xml), _NONE)
+on("json_round_trip", "orders", lambda o: reports.sent_and_read_again(o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), reports.json_files), _NONE)
+on("xml_round_trip", "customer", lambda c: reports.sent_and_read_again(roles(c), reports.xml_files), _NONE)
 on("reference_share", "pages", lambda p: reports.reference_share(p, references.resolved(p)), """
 WITH a AS (SELECT DISTINCT regexp_extract(html, '<div class="ad">([^ <]+)', 1) AS anchor FROM pages), e AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
 SELECT round((SELECT count(DISTINCT page_id) FROM e JOIN a ON anchor <> '' AND anchor = regexp_replace(href, '^/', '')) / count(*), 6) AS share FROM pages""")
-on("round_trip_accuracy", "documents", lambda d: references.round_trip(d).agg(reports.ratio(reports.F.sum(reports.F.col("same").cast("int")), reports.F.count("*")).alias("share")), "SELECT CAST(1.0 AS DOUBLE) AS share")
-on("round_trip_by_document", "documents", references.round_trip, "SELECT doc_id, true AS same FROM documents")
+
+
+def _converted(d):
+    """doc_id, before, markdown, word, plain: the normal form of marked-up documents, and what Markdown and Word files, written and read again, and text alone keep of it."""
+    files = stored(formats.with_word(formats.with_markdown(drafts.marked_up(d), "paragraphs", "as_markdown"), "paragraphs", "as_word"))
+    read = formats.word_read(formats.markdown_read(files, "as_markdown", "markdown"), "as_word", "word")
+    return formats.plain_read(formats.normalised(read, "paragraphs", "before"), "paragraphs", "plain").select("doc_id", "before", "markdown", "word", "plain")
+
+
+def _round_trips(d):
+    return _converted(d).select("doc_id", F.size("before").cast("long").alias("n_paragraphs"), *[F.col(c).eqNullSafe(F.col("before")).alias(f"same_{c}") for c in ("markdown", "word", "plain")])
+
+
+def _accuracy(d):
+    found, counts = stored(_converted(d)), []
+    for c in ("markdown", "word", "plain"):
+        lost = formats.losses(found, "doc_id", "before", c).select("doc_id", "pos").distinct().select(F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("lost"))
+        counts += [x.select(F.lit(c).alias("conversion"), "n", "lost") for x in (lost, found.select(F.size("before").cast("long").alias("n"), F.lit(0).cast("long").alias("lost")))]
+    every = counts[0]
+    for more in counts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("conversion").agg(F.round(1 - F.sum("lost") / F.sum("n"), 9).alias("share"))
+
+
+# A marked-up paragraph has lost something by way of text alone if any of its parts has.
+on("round_trip_by_document", "documents", _round_trips, drafts.LOSSES_SQL + "SELECT doc_id, len(lines) AS n_paragraphs, true AS same_markdown, true AS same_word, doc_id NOT IN (SELECT doc_id FROM p) AS same_plain FROM x")
+on("round_trip_accuracy", "documents", _accuracy, drafts.LOSSES_SQL + ", n AS (SELECT sum(len(lines)) AS n FROM x) SELECT 'markdown' AS conversion, 1.0::DOUBLE AS share UNION ALL SELECT 'word', 1.0 UNION ALL SELECT 'plain', round(1 - (SELECT count(DISTINCT (doc_id, pos)) FROM p) / n, 9) FROM n")
+on("conversion_losses", "documents", lambda d: formats.losses(_converted(d), "doc_id", "before", "plain"), drafts.LOSSES_SQL + "SELECT doc_id, pos, part FROM p")
