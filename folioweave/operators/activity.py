@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import seconds
+from .quantiles import exact_quantiles
 
 
 def lock_in_force(events: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def success_rate(events: DataFrame) -> DataFrame:
 
 
 def median_value(events: DataFrame) -> DataFrame:
-    return events.agg(F.round(F.percentile("value", 0.5), 6).alias("p50"))
+    return exact_quantiles(events, None, "value", {"p50": 0.5}).select(F.round("p50", 6).alias("p50"))
 
 
 def semantic_top(vectors: DataFrame, k: int = 5, every: int = 50, block: int = 2048) -> DataFrame:

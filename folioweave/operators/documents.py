@@ -20,6 +20,28 @@ def section_numbers(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", F.col("pos").cast("long").alias("pos"), F.concat_ws(".", F.col("section").cast("string"), inner.cast("string")).alias("number"))
 
 
+def deep_numbers(lines: DataFrame, key: str, levels: int = 9) -> DataFrame:
+    """key, pos, level, number of the headings of ``lines`` (key, pos, level; null for what is no heading): 1.2.3 and so on, to any depth.
+
+    A heading's counter goes up by one, and back to none below a heading of a higher level; a
+    level that was left out counts 0. Each counter is the headings of its level so far less
+    those up to the last higher one, so all of them come from one sort.
+    """
+    w = Window.partitionBy(key).orderBy("pos")
+    level = F.col("level")
+    so_far = lines.withColumns({f"n{k}": F.sum((level == k).cast("int")).over(w) for k in range(1, levels + 1)})
+    before = so_far.withColumns({f"r{k}": F.last(F.when(level < k, F.coalesce(f"n{k}", F.lit(0))), ignorenulls=True).over(w) for k in range(1, levels + 1)})
+    count = lambda k: (F.coalesce(f"n{k}", F.lit(0)) - F.coalesce(f"r{k}", F.lit(0))).cast("string")
+    number = F.concat_ws(".", *[F.when(level >= k, count(k)) for k in range(1, levels + 1)])
+    return before.where(level.isNotNull()).select(key, F.col("pos").cast("long").alias("pos"), "level", number.alias("number"))
+
+
+def leveled(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, level of every line: one without a full stop is a heading, of a level from 1 to 5 by its length."""
+    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return each.select("doc_id", "pos", F.when(~F.col("line").endswith("."), 1 + F.length("line") % 5).alias("level"))
+
+
 def _windows(words: Column, n: int) -> Column:
     """Hashes of all runs of n words."""
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))

@@ -67,6 +67,14 @@ WITH l AS (SELECT conv_id, turn, substring(unnest(string_split(coalesce(text, ''
 SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.note, b.note) AS note, CASE WHEN b.body IS NULL THEN 'lost' WHEN a.body IS NULL THEN 'added' ELSE 'changed' END AS state
 FROM (FROM l WHERE turn = 0) a FULL JOIN (FROM l WHERE turn = 1) b ON a.conv_id = b.conv_id AND a.note = b.note WHERE a.body IS DISTINCT FROM b.body""")
 
+# In SQL the counters go from heading to heading.
+on("section_numbers_deep", "documents", lambda d: documents.deep_numbers(documents.leveled(d), "doc_id"), """
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+h AS (SELECT doc_id, pos, 1 + length(line) % 5 AS level, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l WHERE line NOT LIKE '%.'),
+r AS (SELECT doc_id, pos, level, n, list_transform(range(1, 10), lambda k: CASE WHEN k = level THEN 1 ELSE 0 END) AS c FROM h WHERE n = 1
+  UNION ALL SELECT h.doc_id, h.pos, h.level, h.n, list_transform(range(1, 10), lambda k: CASE WHEN k < h.level THEN r.c[k] WHEN k = h.level THEN r.c[k] + 1 ELSE 0 END) FROM r JOIN h ON h.doc_id = r.doc_id AND h.n = r.n + 1)
+SELECT doc_id, pos, CAST(level AS INTEGER) AS level, array_to_string(c[1:level], '.') AS number FROM r""")
+
 _DOCS = "WITH t AS (SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN '**' || text || '**' ELSE text END AS text, text AS bare FROM conversations) "
 on("document_extraction", "conversations", lambda c: drive.extracted(drive.conversations_as_documents(c)).select("documentId", "title", "body", F.size("comments").cast("long").alias("n_comments"), F.size("suggestions").cast("long").alias("n_suggestions"), F.array_join("formatting", ",").alias("formatting")), _DOCS + """
 SELECT CAST(conv_id AS VARCHAR) AS "documentId", 'Matter ' || conv_id AS title, string_agg(CASE WHEN turn = 0 THEN '# ' ELSE '' END || text, chr(10) || chr(10) ORDER BY turn) AS body, count(*) FILTER (role = 'user') AS n_comments,
