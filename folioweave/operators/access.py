@@ -42,11 +42,12 @@ def folder_edges(region: DataFrame, nation: DataFrame, customer: DataFrame) -> D
 
 def ancestors(edges: DataFrame, max_depth: int = 100) -> DataFrame:
     """node, ancestor, depth of a forest by joining upwards until no parent is left."""
+    edges = cut(edges)
     level, out = edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), None
     for depth in range(1, max_depth + 1):
         out = level if out is None else out.unionByName(level)
         step = edges.select(F.col("node").alias("ancestor"), F.col("parent").alias("above"))
-        level = level.join(step, "ancestor").select("node", F.col("above").alias("ancestor"), F.lit(depth + 1).alias("depth"))
+        level = cut(level.join(step, "ancestor").select("node", F.col("above").alias("ancestor"), F.lit(depth + 1).alias("depth")))
         if level.isEmpty():
             return out
     raise ValueError(f"deeper than {max_depth} or cyclic")

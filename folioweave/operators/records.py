@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,9 +91,17 @@ def index_entries(found: DataFrame) -> DataFrame:
     return embed_text(found).select("hash", "message", hashed_vector(F.col("embed_text")).alias("embedding"), "changes")
 
 
+def index_on_commit(path: str) -> Callable[[DataFrame], None]:
+    """A hook that appends the index entries of new commit records to ``path``."""
+    return lambda found: index_entries(found).write.mode("append").parquet(path)
+
+
 def append(found: DataFrame, path: str, repo: Column) -> None:
-    """Appends records to a history laid out by repository, so that reading one prunes the others."""
-    found.withColumn("repo", repo).repartition("repo").write.mode("append").partitionBy("repo").parquet(path)
+    """Appends records to a history laid out by repository, so that reading one prunes the others.
+
+    Adaptive execution splits a repository that is too large for one task.
+    """
+    found.withColumn("repo", repo).hint("rebalance", "repo").write.mode("append").partitionBy("repo").parquet(path)
 
 
 def captured(orders: DataFrame) -> DataFrame:

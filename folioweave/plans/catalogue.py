@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..operators import access, activity, commits, documents, versions
 from ..session import table
 from ..streaming import replay
@@ -66,9 +67,19 @@ _MESSAGE = f"""
 WITH m AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN {_TYPE} || ': update clause ' || o_orderkey WHEN 'P' THEN 'Updated clause ' || o_orderkey
   ELSE {_TYPE} || ': accept every remaining change of the other side in clause ' || o_orderkey END AS message FROM orders)
 """
-on("message_validity", "orders", lambda o: commits.validity(commits.messages(o)), _MESSAGE + """
+
+
+def _validity_by_sql(o: DataFrame) -> DataFrame:
+    spark = o.sparkSession
+    sql.register(spark)
+    return spark.sql("SELECT o_orderkey, message, message_type(message) AS type, message_is_valid(message) AS is_valid FROM {m}", m=commits.messages(o))
+
+
+_VALIDITY = _MESSAGE + """
 SELECT o_orderkey, message, regexp_extract(message, '^([a-z]+): \\S', 1) AS type,
-  regexp_extract(message, '^([a-z]+): \\S', 1) IN ('feat', 'fix', 'review', 'draft', 'final', 'docs', 'redact', 'merge', 'revert', 'comment', 'cite', 'format') AND length(message) < 50 AS is_valid FROM m""")
+  regexp_extract(message, '^([a-z]+): \\S', 1) IN ('feat', 'fix', 'review', 'draft', 'final', 'docs', 'redact', 'merge', 'revert', 'comment', 'cite', 'format') AND length(message) < 50 AS is_valid FROM m"""
+on("message_validity", "orders", lambda o: commits.validity(commits.messages(o)), _VALIDITY)
+on("message_validity_sql", "orders", _validity_by_sql, _VALIDITY)
 on("message_patterns_topk", "orders", lambda o: commits.pattern_top(commits.messages(o)), _MESSAGE + "SELECT regexp_replace(message, '[0-9]+', '#', 'g') AS pattern, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, pattern LIMIT 10")
 on("post_signature_amendments", "orders", commits.amendments, f"SELECT o_custkey, o_orderkey, coalesce(bool_or(o_orderstatus = 'F') OVER ({_TIME} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS is_amendment FROM orders")
 on("signature_without_review", "orders", commits.signed_without_review, "SELECT o_orderkey FROM orders a WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P' AND b.o_orderdate < a.o_orderdate)")

@@ -313,14 +313,20 @@ class Hooks:
             hook(data)
 
 
-def dispatch(events: DataFrame, hooks: dict[str, Callable[[DataFrame], None]]):
-    """Calls each hook with its events of every micro-batch, in the order given; a hook that fails stops the stream."""
+def dispatch(stream: DataFrame, hooks: Hooks, route: dict[str, Column]):
+    """A writer that triggers hooks on every micro-batch: for each event of ``route`` with the rows that its condition holds for.
+
+    A batch without such rows triggers nothing. Hooks run in the order they were registered in;
+    one that fails stops the stream, and its batch is given again after a restart.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        for kind, hook in hooks.items():
-            hook(batch.where(F.col("event_type") == kind))
+        for event, condition in route.items():
+            rows = batch.where(condition)
+            if not rows.isEmpty():
+                hooks.trigger(event, rows)
 
-    return events.writeStream.foreachBatch(each)
+    return stream.writeStream.foreachBatch(each)
 
 
 def run(spark: SparkSession, stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
