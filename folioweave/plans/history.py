@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import masked
-from ..operators import conflicts, records, versions
+from ..operators import conflicts, records, retention, versions
+from ..session import new_folder
 from .drafts import MERGE_SQL, drafts
 from .registry import on
 
@@ -83,6 +84,17 @@ on("ordered_diff", "conversations", conflicts.ordered_diff)  # tests apply each
 on("history_rewrite", "conversations", lambda c: versions.hash_links(c.withColumn("text", masked(F.col("text")))), """
 SELECT conv_id, turn, sha256(coalesce(lag(own) OVER (PARTITION BY conv_id ORDER BY turn), '') || own) AS link FROM (SELECT conv_id, turn, sha256(coalesce(regexp_replace(regexp_replace(regexp_replace(text,
   '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[EMAIL]', 'g'), '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}', '[IP]', 'g'), '[0-9]{3}-[0-9]{2}-[0-9]{4}', '[SSN]', 'g'), '')) AS own FROM conversations)""")
+
+
+def _deleted(o: DataFrame, c: DataFrame) -> DataFrame:
+    """The orders' history after customers in debt asked for deletion, by a rewrite of the files that hold them."""
+    spark, path, schema = o.sparkSession, new_folder(o.sparkSession, "history"), "o_orderkey long, o_custkey long"
+    retention.append(o.select("o_orderkey", "o_custkey"), path, "o_custkey")
+    retention.delete(spark, path, schema, c.where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    return retention.current(spark, path, schema)
+
+
+on("deletion_rewrite", "orders customer", _deleted, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 on("changed_documents", "conversations", lambda c: versions.added(c).where("turn > 0").select("conv_id").union(versions.removed(c).where("turn > 0").select("conv_id")).distinct(), """
 WITH t AS (SELECT conv_id, turn, list_sort(string_split(coalesce(text, ''), chr(10))) AS x FROM conversations)
 SELECT DISTINCT a.conv_id FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND a.x <> b.x""")
