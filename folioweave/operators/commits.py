@@ -96,8 +96,12 @@ def signed_without_review(orders: DataFrame) -> DataFrame:
 
 
 def signature_trail(orders: DataFrame) -> DataFrame:
-    part = lambda s, kind: orders.where(F.col("o_orderstatus") == s).select("o_custkey", F.col("o_orderdate").alias("ts"), F.lit(kind).alias("kind"))
-    return part("F", "signature").unionByName(part("P", "review")).unionByName(part("O", "draft"))
+    """o_custkey, o_orderkey, ts, kind, place, amends: reviews, drafts and signatures of an author in one order; what follows a signature amends the last one."""
+    part = lambda s, kind: orders.where(F.col("o_orderstatus") == s).select("o_custkey", "o_orderkey", "o_orderdate", F.lit(kind).alias("kind"))
+    w = by_time()
+    signed = F.last(F.when(F.col("kind") == "signature", F.col("o_orderkey")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    every = part("F", "signature").unionByName(part("P", "review")).unionByName(part("O", "draft"))
+    return every.select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("ts"), "kind", F.row_number().over(w).cast("long").alias("place"), signed.alias("amends"))
 
 
 def keep_last(orders: DataFrame, n: int = 3) -> DataFrame:

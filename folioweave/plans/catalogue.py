@@ -83,7 +83,9 @@ on("message_validity_sql", "orders", _validity_by_sql, _VALIDITY)
 on("message_patterns_topk", "orders", lambda o: commits.pattern_top(commits.messages(o)), _MESSAGE + "SELECT regexp_replace(message, '[0-9]+', '#', 'g') AS pattern, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, pattern LIMIT 10")
 on("post_signature_amendments", "orders", commits.amendments, f"SELECT o_custkey, o_orderkey, coalesce(bool_or(o_orderstatus = 'F') OVER ({_TIME} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS is_amendment FROM orders")
 on("signature_without_review", "orders", commits.signed_without_review, "SELECT o_orderkey FROM orders a WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P' AND b.o_orderdate < a.o_orderdate)")
-on("signature_trail", "orders", commits.signature_trail, "SELECT o_custkey, o_orderdate AS ts, CASE o_orderstatus WHEN 'F' THEN 'signature' WHEN 'P' THEN 'review' ELSE 'draft' END AS kind FROM orders WHERE o_orderstatus IN ('F', 'P', 'O')")
+on("signature_trail", "orders", commits.signature_trail, f"""
+SELECT o_custkey, o_orderkey, o_orderdate AS ts, CASE o_orderstatus WHEN 'F' THEN 'signature' WHEN 'P' THEN 'review' ELSE 'draft' END AS kind, row_number() OVER ({_TIME}) AS place,
+  last_value(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END IGNORE NULLS) OVER ({_TIME} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS amends FROM orders WHERE o_orderstatus IN ('F', 'P', 'O')""")
 on("history_union", "orders", lambda o: o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("main").alias("branch")).unionByName(o.where("o_orderstatus <> 'F'").select("o_orderkey", F.lit("work").alias("branch"))), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'main' ELSE 'work' END AS branch FROM orders WHERE o_orderstatus IS NOT NULL")
 on("retention_keep_n", "orders", commits.keep_last, "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 3")
 on("retention_cutoff", "orders", lambda o: o.where("o_orderdate >= timestamp_ntz'1996-01-01 00:00:00'").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'")
