@@ -54,9 +54,8 @@ SELECT round((SELECT count(DISTINCT page_id) FROM e JOIN a ON anchor <> '' AND a
 
 def _converted(d):
     """doc_id, before, markdown, word, plain: the normal form of marked-up documents, and what Markdown and Word files, written and read again, and text alone keep of it."""
-    files = stored(formats.with_word(formats.with_markdown(drafts.marked_up(d), "paragraphs", "as_markdown"), "paragraphs", "as_word"))
-    read = formats.word_read(formats.markdown_read(files, "as_markdown", "markdown"), "as_word", "word")
-    return formats.plain_read(formats.normalised(read, "paragraphs", "before"), "paragraphs", "plain").select("doc_id", "before", "markdown", "word", "plain")
+    files = stored(formats.converted(drafts.marked_up(d), as_markdown=("to_markdown", "paragraphs"), as_word=("to_word", "paragraphs")))
+    return formats.converted(files, before=("normal", "paragraphs"), markdown=("from_markdown", "as_markdown"), word=("from_word", "as_word"), plain=("plain", "paragraphs")).select("doc_id", "before", "markdown", "word", "plain")
 
 
 def _round_trips(d):

@@ -202,41 +202,26 @@ def plain(paragraphs: list[dict] | None) -> list[dict]:
 # Columns ---------------------------------------------------------------------------------------
 
 
-def _column(df: DataFrame, source: str, target: str, kind: str, arrow: pa.DataType, made: Callable) -> DataFrame:
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{target}` {kind}"])
+#: What a column of another can be made by: its type in Spark and in Arrow, and the function.
+CONVERSIONS: dict[str, tuple[str, pa.DataType, Callable]] = {
+    "to_markdown": ("string", pa.string(), to_markdown), "to_word": ("binary", pa.binary(), to_word), "from_markdown": (MODEL, _model, from_markdown),
+    "from_word": (MODEL, _model, from_word), "normal": (MODEL, _model, normal), "plain": (MODEL, _model, plain),
+}
+
+
+def converted(df: DataFrame, **made: tuple[str, str]) -> DataFrame:
+    """Adds columns, each by a conversion of another column: ``markdown=("to_markdown", "paragraphs")``. All are made in one pass over Arrow batches."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{name}` {CONVERSIONS[how][0]}" for name, (how, _) in made.items()])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([made(x) for x in b[source].to_pylist()], arrow)], [*b.schema.names, target])
+            read = {source: b[source].to_pylist() for source in {source for _, source in made.values()}}
+            new = [pa.array([CONVERSIONS[how][2](x) for x in read[source]], CONVERSIONS[how][1]) for how, source in made.values()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *made])
 
     return df.mapInArrow(each, schema)
 
 
-def with_markdown(df: DataFrame, source: str, target: str) -> DataFrame:
-    return _column(df, source, target, "string", pa.string(), to_markdown)
-
-
-def with_word(df: DataFrame, source: str, target: str) -> DataFrame:
-    return _column(df, source, target, "binary", pa.binary(), to_word)
-
-
-def markdown_read(df: DataFrame, source: str, target: str) -> DataFrame:
-    return _column(df, source, target, MODEL, _model, from_markdown)
-
-
-def word_read(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Null where the content is no Word file."""
-    return _column(df, source, target, MODEL, _model, from_word)
-
-
-def normalised(df: DataFrame, source: str, target: str) -> DataFrame:
-    return _column(df, source, target, MODEL, _model, normal)
-
-
-def plain_read(df: DataFrame, source: str, target: str) -> DataFrame:
-    return _column(df, source, target, MODEL, _model, plain)
-
-
 #: Parts of a paragraph that a conversion may lose.
 PARTS = ("text", "style", "bold", "italic", "suggestion", "comment")
 

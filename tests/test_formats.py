@@ -28,8 +28,8 @@ def test_columns_keep_what_functions_keep(spark):
     r = random.Random(4)
     docs = [document(r) for _ in range(40)] + [None, []]
     frame = spark.createDataFrame(list(enumerate(docs)), f"id long, paragraphs {formats.MODEL}")
-    files = formats.with_word(formats.with_markdown(frame, "paragraphs", "md"), "paragraphs", "docx")
-    read = formats.normalised(formats.word_read(formats.markdown_read(files, "md", "a"), "docx", "b"), "paragraphs", "n").collect()
+    files = formats.converted(frame, md=("to_markdown", "paragraphs"), docx=("to_word", "paragraphs"))
+    read = formats.converted(files, a=("from_markdown", "md"), b=("from_word", "docx"), n=("normal", "paragraphs")).collect()
     assert all(x["a"] == x["b"] == x["n"] for x in read)
     assert [p.asDict(True) for p in read[3]["n"]] == normal(docs[3])
     assert formats.losses(spark.createDataFrame(read), "id", "a", "n").count() == 0
