@@ -19,7 +19,6 @@ _model = pa.list_(pa.struct([("style", pa.string()), ("runs", pa.list_(_run)), (
 NORMAL = "NORMAL_TEXT"
 #: The namespaces of Word's XML.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 CONTENT_TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/word/comments.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.comments+xml"/></Types>'
 RELS = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="{}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{}" Target="{}"/></Relationships>'
 
@@ -119,46 +118,44 @@ def _read(text: str) -> str:
     return _written(lambda m: chr(int(m[1], 16)), text)
 
 
+def _xml(text: str) -> str:
+    return _guarded(text).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+
+
+def _word_run(text: str, tag: str, looks: str = "") -> str:
+    parts = [f'<w:{tag} xml:space="preserve">{_xml(x)}</w:{tag}>' if x else "" for x in text.split("\n")]
+    return f"<w:r>{looks}{'<w:br/>'.join(parts)}</w:r>"
+
+
 def to_word(paragraphs: list[dict] | None) -> bytes:
     """A .docx of the paragraphs."""
-    document, notes, n = ET.Element(f"{W}document"), ET.Element(f"{W}comments"), 0
-    body = ET.SubElement(document, f"{W}body")
-
-    def run(parent: ET.Element, text: str, tag: str, **look: bool) -> None:
-        r = ET.SubElement(parent, f"{W}r")
-        if any(look.values()):
-            looks = ET.SubElement(r, f"{W}rPr")
-            for name in (k for k, on in look.items() if on):
-                ET.SubElement(looks, f"{W}{name}")
-        for k, part in enumerate(text.split("\n")):
-            if k:
-                ET.SubElement(r, f"{W}br")
-            if part:
-                ET.SubElement(r, f"{W}{tag}", {SPACE: "preserve"}).text = _guarded(part)
-
+    body, notes = [], []
     for p in normal(paragraphs):
-        element = ET.SubElement(body, f"{W}p")
-        if p["style"] != NORMAL:
-            style = re.sub("\\AHEADING_([1-6])\\Z", r"Heading\1", p["style"])
-            ET.SubElement(ET.SubElement(element, f"{W}pPr"), f"{W}pStyle", {f"{W}val": _guarded(style)})
+        style = re.sub("\\AHEADING_([1-6])\\Z", r"Heading\1", p["style"])
+        body.append("<w:p>" + ("" if style == NORMAL else f'<w:pPr><w:pStyle w:val="{_in_attribute(style)}"/></w:pPr>'))
         for r in p["runs"]:
-            parent = ET.SubElement(element, f"{W}{r['suggested']}", {f"{W}author": "suggested"}) if r["suggested"] else element
-            run(parent, r["text"], "delText" if r["suggested"] == "del" else "t", b=r["bold"], i=r["italic"])
+            looks = "<w:b/>" * r["bold"] + "<w:i/>" * r["italic"]
+            run = _word_run(r["text"], "delText" if r["suggested"] == "del" else "t", f"<w:rPr>{looks}</w:rPr>" if looks else "")
+            body.append(f'<w:{r["suggested"]} w:author="suggested">{run}</w:{r["suggested"]}>' if r["suggested"] else run)
         for c in p["comments"]:
-            ET.SubElement(ET.SubElement(element, f"{W}r"), f"{W}commentReference", {f"{W}id": str(n)})
-            note = ET.SubElement(notes, f"{W}comment", {f"{W}id": str(n), f"{W}author": _guarded(c["author"]).replace("\n", "_x000A_")})
-            run(ET.SubElement(note, f"{W}p"), c["content"], "t")
-            n += 1
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            body.append(f'<w:r><w:commentReference w:id="{len(notes)}"/></w:r>')
+            notes.append(f'<w:comment w:id="{len(notes)}" w:author="{_in_attribute(c["author"])}"><w:p>{_word_run(c["content"], "t")}</w:p></w:comment>')
+        body.append("</w:p>")
+    out, head, space = io.BytesIO(), '<?xml version="1.0" encoding="UTF-8"?>', f'xmlns:w="{W[1:-1]}"'
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
         z.writestr("[Content_Types].xml", CONTENT_TYPES)
         z.writestr("_rels/.rels", RELS.format("r1", "officeDocument", "word/document.xml"))
         z.writestr("word/_rels/document.xml.rels", RELS.format("r2", "comments", "comments.xml"))
-        for name, root in (("document", document), ("comments", notes)):
-            z.writestr(f"word/{name}.xml", ET.tostring(root, "utf-8", xml_declaration=True))
+        z.writestr("word/document.xml", f"{head}<w:document {space}><w:body>{''.join(body)}</w:body></w:document>")
+        z.writestr("word/comments.xml", f"{head}<w:comments {space}>{''.join(notes)}</w:comments>")
     return out.getvalue()
 
 
+def _in_attribute(text: str) -> str:
+    """White space in an attribute would be read as blanks."""
+    return _xml(text).replace("\n", "_x000A_").replace("\t", "_x0009_")
+
+
 def from_word(content: bytes | None) -> list[dict] | None:
     """The paragraphs of a .docx, by namespace, whatever its prefixes; null if it isn't one."""
     try:
