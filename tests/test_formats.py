@@ -56,3 +56,16 @@ def test_word_files_of_any_prefix():
         {"style": "NORMAL_TEXT", "runs": [{"text": "old", "bold": False, "italic": False, "suggested": "del"}], "comments": []},
     ]
     assert from_word(b"no archive") is None and from_word(None) is None
+
+
+def test_conversions_hold_few_documents_at_a_time(spark):
+    import pyarrow as pa
+
+    from folioweave.functions.alignment import SLICE_BYTES, slices
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(3001)), "text": ["x" * (k % 7) * 1000 for k in range(3000)] + ["y" * 3 * SLICE_BYTES]})
+    parts = list(slices(batch, SLICE_BYTES))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 9
+    assert all(p.nbytes <= SLICE_BYTES or p.num_rows == 1 for p in parts) and list(slices(batch[:0], SLICE_BYTES))[0].num_rows == 0
+    made = formats.converted(spark.range(6000).selectExpr("id", "array(struct('NORMAL_TEXT' as style, array(struct(repeat('x', 500) as text, false as bold, false as italic, '' as suggested)) as runs, cast(array() as array<struct<author:string,content:string>>) as comments)) as p").repartition(1), md=("to_markdown", "p"))
+    assert made.select("id", "md").distinct().count() == 6000
