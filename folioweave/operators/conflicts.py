@@ -40,14 +40,17 @@ def aligned(versions: DataFrame, key: str) -> DataFrame:
     placed = with_places(versions.select(key, *SIDES).withColumns(texts), "base_texts", "ours_texts", "theirs_texts")
     parts = lambda p, at: F.struct(p["text"].alias("text"), p["format"].alias("format"), p["note"].alias("note"), at["moved"].alias("moved"), at["after"].alias("after"), at["nth"].alias("nth"))
     stays = lambda i: F.struct(F.lit(False).alias("moved"), i.alias("after"), F.lit(0).alias("nth"))
-    rows = placed.select(key, F.posexplode("base").alias("i", "p")).select(key, F.col("i").alias("anchor"), F.lit(False).alias("added"), F.lit("").alias("new"), F.lit(0).alias("twin"), F.lit(0).alias("side"), parts(F.col("p"), stays(F.col("i"))).alias("p"))
+    row = lambda anchor, added, new, twin, side, p: F.struct(anchor.alias("anchor"), added.alias("added"), new.alias("new"), twin.alias("twin"), F.lit(side).alias("side"), p.alias("p"))
+    every = [F.transform("base", lambda p, i: row(i, F.lit(False), F.lit(""), F.lit(0), 0, parts(p, stays(i))))]
     for k, s in enumerate(SIDES[1:], 1):
-        each = placed.select(key, F.posexplode(F.arrays_zip(F.col(s).alias("p"), F.col(f"{s}_texts_places").alias("at"))).alias("i", "x"))
-        at, added = F.col("x.at"), F.col("x.at.at") < 0
-        rows = rows.unionByName(each.select(
-            key, F.when(added, at["after"]).otherwise(at["at"]).alias("anchor"), added.alias("added"), F.when(added, F.col("x.p.text")).otherwise("").alias("new"),
-            F.when(added, at["twin"]).otherwise(0).alias("twin"), F.lit(k).alias("side"), parts(F.col("x.p"), at).alias("p"),
-        ))
+
+        def of_side(x: Column) -> Column:
+            at, added = x["at"], x["at"]["at"] < 0
+            return row(F.when(added, at["after"]).otherwise(at["at"]), added, F.when(added, x["p"]["text"]).otherwise(""), F.when(added, at["twin"]).otherwise(0), k, parts(x["p"], at))  # noqa: B023
+
+        every.append(F.transform(F.arrays_zip(F.col(s).alias("p"), F.col(f"{s}_texts_places").alias("at")), of_side))
+    # All three sides leave the one pass that aligns them; a branch for each would align them three times.
+    rows = placed.select(key, F.explode(F.concat(*[F.coalesce(x, F.array()) for x in every])).alias("row")).select(key, "row.*")
     sides = [F.max(F.when(F.col("side") == k, F.col("p"))).alias(s) for k, s in enumerate(SIDES)]
     return rows.groupBy(key, "anchor", "added", "new", "twin").agg(*sides).select(key, F.col("anchor").cast("long").alias("anchor"), "added", *SIDES)
 

@@ -57,8 +57,8 @@ def _merged(d: DataFrame) -> DataFrame:
 
 def _both_touched(d: DataFrame) -> DataFrame:
     rows = conflicts.aligned(drafts(d), "doc_id").where("not added")
-    by = lambda s: rows.where(~F.col(f"{s}.text").eqNullSafe(F.col("base.text")) | ~F.col(f"{s}.format").eqNullSafe(F.col("base.format")) | ~F.col(f"{s}.note").eqNullSafe(F.col("base.note")) | F.col(f"{s}.moved")).select("doc_id", "anchor")
-    return by("ours").intersect(by("theirs"))
+    touched = lambda s: ~F.col(f"{s}.text").eqNullSafe(F.col("base.text")) | ~F.col(f"{s}.format").eqNullSafe(F.col("base.format")) | ~F.col(f"{s}.note").eqNullSafe(F.col("base.note")) | F.col(f"{s}.moved")
+    return rows.where(touched("ours") & touched("theirs")).select("doc_id", "anchor")
 
 
 _MARKED = "'<<<<<<< ours' || chr(10) || coalesce(ot, '') || chr(10) || '=======' || chr(10) || coalesce(tt, '') || chr(10) || '>>>>>>> theirs'"

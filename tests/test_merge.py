@@ -131,3 +131,20 @@ def test_long_orders_are_quick():
     r.shuffle(b)
     assert len(matches(a, b)) > 100
     assert len(matches(a, [f"x{k}" if k % 50 == 0 else x for k, x in enumerate(a)])) == 39_200
+
+
+def test_three_sides_are_aligned_in_one_pass(spark, tmp_path):
+    texts = [["a", "b", "c"], ["c", "a"], ["a", "b", "new"]]
+    rows = [(1, *[[(x, "body", "") for x in t] for t in texts]), (2, None, [("x", "body", "")], None)]
+    spark.createDataFrame(rows, MODEL).write.parquet(str(tmp_path / "v"))
+    found = conflicts.aligned(spark.read.parquet(str(tmp_path / "v")), "id")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r["id"], r["anchor"], r["added"], *[r[s] and r[s]["text"] for s in conflicts.SIDES]) for r in found.collect())
+    assert got == [(1, 0, False, "a", "a", "a"), (1, 1, False, "b", None, "b"), (1, 2, False, "c", "c", "new"), (2, -1, True, None, "x", None)]
+
+
+def test_both_touched_is_one_pass(spark):
+    from folioweave.plans.history import _both_touched
+
+    docs = spark.createDataFrame([(k, "\n".join(f"line {i}." for i in range(20))) for k in range(5)], "doc_id long, text string").repartition(2)
+    assert _both_touched(docs)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
