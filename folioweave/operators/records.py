@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import cut, stored
 from .commits import by_time, messages
 
 #: Return flags as file states.
@@ -129,18 +129,22 @@ def parents(orders: DataFrame) -> DataFrame:
 def ancestry(edges: DataFrame) -> DataFrame:
     """child, ancestor, distance: the fewest steps from each commit to each ancestor.
 
-    Paths double in length each round, so a history of n commits in a row takes log n rounds.
+    Paths double in length each round, so a history of n commits in a row takes log n rounds. A path
+    of up to twice ``span`` steps is one of just ``span`` and the rest, so a round joins only the pairs
+    of that distance with those found; each pair is stored once, by the round that found it.
     """
-    found = cut(edges.groupBy(F.col("child"), F.col("parent").alias("ancestor")).agg(F.lit(1).cast("long").alias("distance")))
-    n = found.count()
+    found = fresh = stored(edges.groupBy(F.col("child"), F.col("parent").alias("ancestor")).agg(F.lit(1).cast("long").alias("distance")))
+    span = 1
     while True:
-        on = found.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("above"), F.col("distance").alias("more"))
-        longer = found.join(on, "ancestor").select("child", F.col("above").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
-        found = cut(found.unionByName(longer).groupBy("child", "ancestor").agg(F.min("distance").alias("distance")))
-        state = found.agg(F.count("*"), F.sum("distance")).first()
-        if state == n:
+        far = fresh.where(F.col("distance") == span).select("child", F.col("ancestor").alias("middle"))
+        if far.isEmpty():
             return found
-        n = state
+        # Dealt out by child once: the same exchange serves the join and the minimum.
+        known = found.repartition("child")
+        on = known.select(F.col("child").alias("middle"), "ancestor", (F.col("distance") + span).alias("distance"))
+        longer = far.join(on, "middle").select("child", "ancestor", "distance")
+        fresh = stored(known.unionByName(longer.repartition("child")).groupBy("child", "ancestor").agg(F.min("distance").alias("distance")).where(F.col("distance") > span))
+        found, span = found.unionByName(fresh), 2 * span
 
 
 def condensed(edges: DataFrame, kept: DataFrame) -> DataFrame:

@@ -59,3 +59,20 @@ def test_a_long_history_takes_few_rounds(spark):
 
 def test_no_history(spark):
     assert found(spark, [], []) == set() and found(spark, [], [(1, 2), (3, 3)]) == {(1, 2, None, None), (3, 3, 3, 0)}
+
+
+def written(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_ancestry_equals_the_closure_and_shuffles_little(spark):
+    edges = [(k, k - 1) for k in range(1, 400)] + [(k, k - 37) for k in range(60, 400, 11)] + [(7, 5), (900, 901), (901, 900)]
+    up = {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+    want = {(c, a, d) for c in up for a, d in distances(up, c).items() if a != c} | {(900, 900, 2), (901, 901, 2)}
+    frame, before = spark.createDataFrame(edges + edges[:5], "child long, parent long"), written(spark)
+    got = [tuple(x) for x in records.ancestry(frame).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert written(spark) - before < 80 * len(want)  # bytes a pair
+    assert records.ancestry(frame.limit(0)).count() == 0
