@@ -187,7 +187,9 @@ class InOrder(StatefulProcessor):
     """Steps each document's events in the order of time, whatever triggers they came in.
 
     Events wait in a list until the watermark has passed them, when none before them can come; a
-    timer then steps them. What waits is bounded by the events of the watermark's delay.
+    timer then steps them. What waits is bounded by the events of the watermark's delay. Each call
+    to a store is a message to the JVM, so a document's state is read and written once a timer,
+    not once an event: load() reads it, step() and passed() change it, and keep() writes it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -199,7 +201,7 @@ class InOrder(StatefulProcessor):
         for part in rows:
             part = part[part["event_type"] != END]
             if len(part):
-                self.waiting.appendList([(int(e.at), int(e.event_id), e.event_type, int(e.user_id), float(e.value)) for e in part.itertuples()])
+                self.waiting.appendList(list(zip(*(part[c].tolist() for c in ("at", "event_id", "event_type", "user_id", "value")), strict=True)))
                 self.handle.registerTimer(int(part["at"].min()) // 1000 + 1)
         return iter(())
 
@@ -207,13 +209,18 @@ class InOrder(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = [tuple(e) for e in self.waiting.get()]
         out, left = [], sorted(e for e in waiting if e[0] > now)
+        self.load()
         for e in sorted(e for e in waiting if e[0] <= now):
             out += self.step(key[0], e)
         out += self.passed(key[0], now)
-        self.waiting.clear()
-        if left:
-            self.waiting.put(left)
-            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        ends = self.keep()
+        if len(left) < len(waiting):
+            self.waiting.clear()
+            if left:
+                self.waiting.put(left)
+        soon = min([e[0] for e in left[:1]] + ([] if ends is None else [ends]), default=None)
+        if soon is not None:
+            self.handle.registerTimer(soon // 1000 + 1)
         if out:
             yield self.frame(out)
 
@@ -228,21 +235,27 @@ class Locks(InOrder):
         self.hours, self.override, self.frame = hours, override, _outcomes
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.lock = handle.getValueState("lock", "holder long, until long, lock long")
+        self.stored = handle.getValueState("lock", "holder long, until long, lock long")
+
+    def load(self) -> None:
+        found = self.stored.get()
+        self.lock = self.before = None if found is None else tuple(found)
+
+    def keep(self) -> int | None:
+        if self.lock is None and self.before is not None:
+            self.stored.clear()
+        elif self.lock != self.before:
+            self.stored.update(self.lock)
+        return None if self.lock is None else self.lock[1]
 
     def step(self, doc: int, event: tuple) -> list[tuple]:
-        lock, out = lock_step(doc, tuple(self.lock.get()) if self.lock.exists() else None, event, self.hours, self.override)
-        if lock is None:
-            self.lock.clear()
-        else:
-            self.lock.update(lock)
-            self.handle.registerTimer(lock[1] // 1000 + 1)
+        self.lock, out = lock_step(doc, self.lock, event, self.hours, self.override)
         return out
 
     def passed(self, doc: int, now: int) -> list[tuple]:
-        if not self.lock.exists() or (lock := tuple(self.lock.get()))[1] >= now:
+        if self.lock is None or self.lock[1] >= now:
             return []
-        self.lock.clear()
+        lock, self.lock = self.lock, None
         return [(doc, lock[2], "expired", lock[0])]
 
 
@@ -253,26 +266,31 @@ class Queue(InOrder):
         self.most = minutes * 60_000_000
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.asked = handle.getListState("asked", "ts long, request long")
+        self.stored = handle.getListState("asked", "ts long, request long")
+
+    def load(self) -> None:
+        self.asked = [tuple(x) for x in self.stored.get()]
+        self.before = list(self.asked)
+
+    def keep(self) -> int | None:
+        if self.asked != self.before:
+            self.stored.clear()
+            if self.asked:
+                self.stored.put(self.asked)
+        return self.asked[0][0] + self.most if self.asked else None
 
     def step(self, doc: int, event: tuple) -> list[tuple]:
         now, number, kind, *_ = event
         if kind == EDIT:
-            self.asked.appendValue((now, number))
-            self.handle.registerTimer((now + self.most) // 1000 + 1)
+            self.asked.append((now, number))
             return []
         lapsed = self.passed(doc, now)
-        asked = [tuple(x) for x in self.asked.get()]
-        self.asked.clear()
+        asked, self.asked = self.asked, []
         return lapsed + [(doc, request, number, place) for place, (_, request) in enumerate(asked, 1)]
 
     def passed(self, doc: int, now: int) -> list[tuple]:
-        asked = [tuple(x) for x in self.asked.get()]
-        lapsed = [x for x in asked if x[0] + self.most < now]
-        if lapsed:
-            self.asked.clear()
-            if len(asked) > len(lapsed):
-                self.asked.put([x for x in asked if x[0] + self.most >= now])
+        lapsed = [x for x in self.asked if x[0] + self.most < now]
+        self.asked = self.asked[len(lapsed) :]
         return [(doc, request, None, None) for _, request in lapsed]
 
     def frame(self, rows: list[tuple]) -> pd.DataFrame:

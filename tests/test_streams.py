@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from unittest.mock import MagicMock
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,17 @@ def test_late_rows_leave_the_machine_of_the_others(spark, tmp_path):
 def test_an_empty_folder_gives_nothing(spark, tmp_path):
     got = replay.replayed(spark, written(spark, str(tmp_path / "e"), [[]]), replay.hourly_counts)
     assert (got.rows.count(), got.n_input, got.n_late) == (0, 0, 0)
+
+
+@pytest.mark.parametrize("make", [lambda: replay.Locks(12, 200), lambda: replay.Queue(60)])
+def test_state_is_called_once_a_timer_not_once_an_event(make):
+    rows = [(k * 60_000_000, k, ("signup", "click", "purchase")[k % 7 % 3], k % 5, 1.0) for k in range(200)]
+    handle, own, waiting, now = MagicMock(), MagicMock(), MagicMock(), MagicMock()
+    handle.getListState.side_effect = lambda name, _: waiting if name == "waiting" else own
+    handle.getValueState.return_value = own
+    waiting.get.return_value, own.get.return_value, own.exists.return_value = rows, [] if isinstance(make(), replay.Queue) else None, False
+    now.getCurrentWatermarkInMs.return_value = 10**12
+    machine = make()
+    machine.init(handle)
+    assert sum(len(x) for x in machine.handleExpiredTimer((0,), now, None)) > 0
+    assert len(own.method_calls) <= 3 and handle.registerTimer.call_count <= 1
