@@ -12,6 +12,8 @@ from .documents import reference_edges
 
 #: A citation as volume, reporter and page; another grammar can be passed in.
 CITATION = r"[0-9]+ [A-Z][A-Za-z.]* [0-9]+"
+#: Ids of documents that may be broadcast; more are shuffled.
+MOST_BROADCAST = 1_000_000
 PLACEHOLDER = r"\{\{([A-Za-z0-9-]+)\}\}"
 
 
@@ -74,9 +76,20 @@ def clause_places(items: DataFrame) -> DataFrame:
 
 
 def names_in_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """name, n_docs: in how many documents each one-word name (column name) stands as a word, by an equi-join of words."""
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"))).alias("name"))
-    return words.join(names.select(F.lower("name").alias("name")).distinct(), "name").groupBy("name").agg(F.count_distinct("doc_id").alias("n_docs"))
+    """name, n_docs: in how many documents each one-word name (column name) stands as a word, by an equi-join of words.
+
+    A row has each of its words once, so where no doc_id repeats, words are counted as they come
+    and a task holds the different words alone. Rows of a repeated doc_id are first brought together.
+    """
+    own = docs.select("doc_id", F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("words"))
+    again = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
+    n = again.count()
+    if n:
+        once = F.broadcast(again) if n <= MOST_BROADCAST else again
+        met = own.join(once, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+        own = own.join(once, "doc_id", "left_anti").unionByName(met)
+    counts = own.select("doc_id", F.explode("words").alias("name")).groupBy("name").agg(F.count("doc_id").alias("n_docs"))
+    return counts.join(names.select(F.lower("name").alias("name")).distinct(), "name").select("name", "n_docs")
 
 
 def citations(docs: DataFrame, pattern: str = CITATION) -> DataFrame:
