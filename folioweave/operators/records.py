@@ -150,19 +150,20 @@ def ancestry(edges: DataFrame) -> DataFrame:
 def condensed(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """child, parent, steps of the history without the commits of one parent and one child, but for those of ``kept`` (column commit).
 
-    Runs of such commits become one edge. They are followed by doubling, so a run of n takes log n rounds.
+    Runs of such commits become one edge. They are followed by doubling, so a run of n takes log n rounds,
+    and jumps that reach their run's end take no part in later ones.
     """
     e = cut(edges.select("child", "parent").distinct())
     one = lambda end: e.groupBy(F.col(end).alias("commit")).agg(F.count("*").alias("n")).where("n = 1").select("commit")
     inner = one("child").join(one("parent"), "commit").join(kept.select("commit"), "commit", "left_anti")
     jumps = cut(e.join(inner.withColumnRenamed("commit", "child"), "child").select(F.col("child").alias("commit"), F.col("parent").alias("to"), F.lit(1).cast("long").alias("steps")))
-    while True:
-        on = jumps.select(F.col("commit").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
-        jumps = cut(jumps.join(on, "to", "left").select("commit", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved")))
-        moved = not jumps.where("moved").isEmpty()
-        jumps = jumps.drop("moved")
-        if not moved:
-            break
+    moving, settled = jumps, jumps.limit(0)
+    while not moving.isEmpty():
+        all_ = settled.withColumn("last", F.lit(True)).unionByName(moving.withColumn("last", F.lit(False)))
+        on = all_.select(F.col("commit").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"), "last")
+        moved = cut(moving.join(on, "to", "left").select("commit", F.coalesce("further", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("last", F.lit(True)).alias("last")))
+        settled, moving = settled.unionByName(moved.where("last").drop("last")), moved.where("not last").drop("last")
+    jumps = settled
     ends = e.join(jumps.select(F.col("commit").alias("child")), "child", "left_anti").join(jumps.withColumnRenamed("commit", "parent"), "parent", "left")
     return ends.groupBy("child", F.coalesce("to", "parent").alias("parent")).agg(F.min(F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
 
@@ -173,22 +174,31 @@ def merge_bases(heads: DataFrame, edges: DataFrame) -> DataFrame:
     Both heads walk up the condensed history at once. A commit met by both bounds the steps, and
     no walk goes on beyond that bound, so what is read is what lies about as far as the base, not
     the history. A base has two children or is a head: another's only child would be nearer to both.
+    A round meets only what it newly reached, and pairs whose walks have ended leave the rounds.
     """
     pairs = cut(heads.select("a", "b").distinct())
-    up = cut(condensed(edges, pairs.select(F.col("a").alias("commit")).union(pairs.select("b")).distinct()))
-    start = lambda end: pairs.select("a", "b", F.lit(end).alias("side"), F.col(end).alias("commit"), F.lit(0).cast("long").alias("steps"))
+    up = cut(condensed(edges, pairs.select(F.col("a").alias("commit")).union(pairs.select("b")).distinct())).select(F.col("child").alias("commit"), "parent", F.col("steps").alias("more"))
+    start = lambda end: pairs.select("a", "b", F.col(end).alias("commit"), F.lit(end).alias("side"), F.lit(0).cast("long").alias("steps"))
     reached = front = cut(start("a").unionByName(start("b")))
+    best = pairs.select("a", "b", F.lit(None).cast("struct<steps: bigint, base: bigint>").alias("best"))
+    ended = None
     while True:
-        by = lambda end: reached.where(F.col("side") == end).select("a", "b", "commit", F.col("steps").alias(f"steps_{end}"))
-        met = by("a").join(by("b"), ["a", "b", "commit"])
-        best = cut(met.groupBy("a", "b").agg(F.min(F.struct((F.col("steps_a") + F.col("steps_b")).alias("steps"), F.col("commit").alias("base"))).alias("best")))
+        other = reached.select("a", "b", "commit", F.col("side").alias("from"), F.col("steps").alias("rest"))
+        met = front.join(other, ["a", "b", "commit"]).where("side <> from").select("a", "b", F.struct((F.col("steps") + F.col("rest")).alias("steps"), F.col("commit").alias("base")).alias("best"))
+        best = cut(best.unionByName(met).groupBy("a", "b").agg(F.min("best").alias("best")))
+        open_ = best.select("a", "b", F.col("best.steps").alias("most"))
+        further = front.join(up, "commit").select("a", "b", F.col("parent").alias("commit"), "side", "steps", (F.col("steps") + F.col("more")).alias("on"))
+        # At just the bound the other head itself may be met, and be smaller than the base found.
+        nearer = further.join(open_, ["a", "b"]).where("most is null or (steps < most and on <= most)").groupBy("a", "b", "commit", "side").agg(F.min("on").alias("steps"))
+        known = reached.withColumnRenamed("steps", "known")
+        front = cut(nearer.join(known, ["a", "b", "commit", "side"], "left").where("known is null or steps < known").drop("known"))
+        walking = front.select("a", "b").distinct()
+        still = best.join(walking, ["a", "b"], "left_anti")
+        ended = still if ended is None else ended.unionByName(still)
         if front.isEmpty():
-            return heads.select("a", "b").join(best, ["a", "b"], "left").select("a", "b", F.col("best.base").alias("base"), F.col("best.steps").alias("steps"))
-        nearer = front.join(best, ["a", "b"], "left").where("best is null or steps < best.steps")
-        further = nearer.join(up.select(F.col("child").alias("commit"), "parent", F.col("steps").alias("more")), "commit").groupBy("a", "b", "side", F.col("parent").alias("commit")).agg(F.min(F.col("steps") + F.col("more")).alias("steps"))
-        known = reached.select("a", "b", "side", "commit", F.col("steps").alias("known"))
-        front = cut(further.join(known, ["a", "b", "side", "commit"], "left").where("known is null or steps < known").drop("known"))
-        reached = cut(reached.unionByName(front).groupBy("a", "b", "side", "commit").agg(F.min("steps").alias("steps")))
+            return heads.select("a", "b").join(ended, ["a", "b"], "left").select("a", "b", F.col("best.base").alias("base"), F.col("best.steps").alias("steps"))
+        best = best.join(walking, ["a", "b"], "left_semi")
+        reached = cut(reached.join(walking, ["a", "b"], "left_semi").unionByName(front).groupBy("a", "b", "commit", "side").agg(F.min("steps").alias("steps")))
 
 
 def heads(orders: DataFrame) -> DataFrame:
