@@ -9,17 +9,26 @@ from folioweave.llm.common import stored
 
 #: The mixture reads every document once, and those of the rarest source at most so often.
 MAX_REPEATS = 1.5
+#: Bytes of a batch that Spark hands to Python: 10,000 rows at once, as it would, are 50 MB of texts for each task, on both sides.
+BATCH_BYTES = 4 << 20
+
+
+def batched(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    batched(spark)
     return quality_rules.quality_filter(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    batched(spark)
     return line_dedup.drop_copied_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    batched(spark)
     return simhash_dedup.keep_one(docs)
 
 
@@ -28,6 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    batched(spark)
     return packing.packed_sequences(docs)
 
 

@@ -43,3 +43,20 @@ def test_stages_keep_their_promises(spark, tmp_path):
             assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in before.collect()}
     assert kept["SimHash near-dedup"].count() < kept["quality rules"].count() <= len(ids)
     assert corpus_pipeline.run(spark, SF).count() == kept["best-fit packing"].count()
+
+
+def test_texts_reach_python_few_bytes_at_a_time(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(4000, numPartitions=1).selectExpr("repeat(string(id), 1250) as text")
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"n": [b.nbytes]})
+
+    try:
+        corpus_pipeline.batched(spark)
+        found = [r[0] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert len(found) > 1 and max(found) < 2 * corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
